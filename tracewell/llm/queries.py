@@ -3,18 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import nested
+from ..plans.scratch import Scratch
 from ..sources.tables import read_table
-from . import lookalikes
+from . import lookalikes, pairs
+
+# 2. defective pairs
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = ["transcript_id", "query", "prose", "refused", "refusal_reason", "claims[].subject", "claims[].object", "loaded_at"]
+    once = nested.latest_records(read_table(spark, sf_dir, "transcripts", paths), "transcript_id", "loaded_at")
+    return once.select(F.col("transcript_id").alias("id"), "query", "prose", "refused", F.col("refusal_reason").alias("reason"), F.col("claims.subject").alias("names_a"), F.col("claims.object").alias("names_b"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(_pairs(spark, sf_dir)).withColumnRenamed("id", "transcript_id")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs per defect."""
+    return p2_found(spark, sf_dir).groupBy("defect").agg(F.count(F.lit(1)).alias("n_pairs"))
+
 
 
 # 9. look-alike texts
 
 
 def _looks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.scratch import Scratch
-
     known = lookalikes.classes(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
     return Scratch(spark, "looks").keep(known)
 
@@ -27,5 +45,5 @@ def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_classes(_looks(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p9_classes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p9_found, p9_classes)}
 ORACLES: dict[str, str] = {}
