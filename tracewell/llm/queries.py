@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import nested
 from ..plans.scratch import Scratch
 from ..sources.tables import read_table
-from . import lookalikes, pairs
+from . import lookalikes, mixing, packing, pairs, tokens
 
 # 2. defective pairs
 
@@ -29,6 +29,56 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+# 7. packing
+
+
+def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).where("doc_id is not null")
+    # counted once: the statistics, the ranges' sample and the packing all read it
+    return packing.along_curve(Scratch(spark, "tokens").keep(tokens.with_tokens(docs, "doc_id", "text", vectors=True)))
+
+
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a container."""
+    return packing.packed(_curve(spark, sf_dir), "doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill(p7_pack(spark, sf_dir))
+
+
+# 8. mixing
+
+# the top level of the tree: what kind of text a source gives
+P8_DOMAINS = {"wikitext": "reference", "archive_card": "reference", "concert_log": "reference", "press_review": "press", "liner_notes": "press", "festival_program": "press", "interview": "speech", "radio_script": "speech", "forum": "web"}
+
+
+def _source(col: Column) -> Column:
+    """Sources in one spelling: lower case, no outer blanks, words joined by underscores."""
+    return F.regexp_replace(F.lower(F.trim(col)), r"[\s-]+", "_")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]).where("doc_id is not null")
+    plain = docs.select("doc_id", "text", F.coalesce(F.lower(F.trim("lang")), F.lit("und")).alias("lang"), _source(F.col("source")).alias("source"))
+    counted = Scratch(spark, "tokens").keep(tokens.with_tokens(plain, "doc_id", "text", "lang", "source"))
+    targets = read_table(spark, sf_dir, "mixture_targets").select(_source(F.col("source")).alias("source"), "target_weight", "max_repeats")
+    leaves = mixing.leaf_table(counted, targets, P8_DOMAINS)
+    mixing.allot(leaves, mixing.feasible_total(leaves))
+    return mixing.mixture(counted, "doc_id", leaves), targets
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares wanted and reached."""
+    return mixing.shares(*_mixed(spark, sf_dir))
+
+
 # 9. look-alike texts
 
 
@@ -45,5 +95,5 @@ def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_classes(_looks(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p9_found, p9_classes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p7_pack, p7_fill, p8_mixture, p8_shares, p9_found, p9_classes)}
 ORACLES: dict[str, str] = {}
