@@ -19,6 +19,7 @@ from ..plans.scratch import Scratch
 
 MOST_LEAVES = 100_000  # pairs of language and source whose totals the driver holds
 SEED = 17
+ROUGH = 0.001  # of the whole, what may be missing before the last documents are chosen
 
 
 @dataclass
@@ -119,12 +120,28 @@ def mixture(docs: DataFrame, doc_id: str, leaves: list[Leaf]) -> DataFrame:
             rows.append((x.path[2], x.path[1], full, rest, max(1, round(x.docs**0.5))))
     plan = F.broadcast(spark.createDataFrame(rows, "source string, lang string, full bigint, rest double, slices bigint"))  # as many rows as leaves
     held = docs.where("n_tokens > 0").join(plan, ["source", "lang"]).withColumn("at", _key(F.col("full"), doc_id))
-    first = Scratch(spark, "prefix").keep(_ahead(held, doc_id).withColumn("taken", F.col("ahead") + F.col("n_tokens") <= F.col("rest")).drop("ahead"))
-    left = first.groupBy("source", "lang").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("taken"), F.col("n_tokens"))), F.lit(0))).alias("left"))
-    again = first.where("not taken").join(left, ["source", "lang"]).where("n_tokens <= left")
-    more = _ahead(again, doc_id).where(F.col("ahead") + F.col("n_tokens") / 2 <= F.col("left")).select(doc_id, F.lit(True).alias("late"))
-    copies = F.col("full") + (F.col("taken") | F.coalesce("late", F.lit(False))).cast("bigint")
-    return first.join(more, doc_id, "left").select(doc_id, "source", "lang", "n_tokens", copies.alias("copies")).where("copies > 0")
+    scratch, taken, total = Scratch(spark, "prefix"), [], sum(x.budget for x in leaves)
+    if not rows:
+        return docs.select(doc_id, "source", "lang", "n_tokens", F.lit(0).cast("bigint").alias("copies")).where("false")
+    left = plan.select("source", "lang", F.col("rest").alias("left"))
+    open_rows = held.select(doc_id, "source", "lang", "n_tokens", "at", "slices")
+    while True:
+        round_ = scratch.keep(_ahead(open_rows.join(F.broadcast(left), ["source", "lang"]).where("n_tokens <= left"), doc_id).withColumn("fits", F.col("ahead") + F.col("n_tokens") <= F.col("left")))
+        got = round_.where("fits").groupBy("source", "lang").agg(F.sum("n_tokens").alias("got"))
+        now = [(r["source"], r["lang"], r["left"] - (r["got"] or 0)) for r in left.join(got, ["source", "lang"], "left").collect()]  # as many rows as leaves
+        taken.append(round_.where("fits").select(doc_id))
+        owed, was = sum(x[2] for x in now), left.agg(F.sum("left")).first()[0]
+        left = spark.createDataFrame(now, "source string, lang string, left double")
+        open_rows = round_.where("not fits").drop("left", "ahead", "fits")
+        if owed <= ROUGH * total or owed == was:
+            break
+    last = _ahead(open_rows.join(F.broadcast(left), ["source", "lang"]).where("n_tokens <= 2 * left"), doc_id)
+    taken.append(last.where(F.col("ahead") + F.col("n_tokens") / 2 <= F.col("left")).select(doc_id))
+    extra = taken[0]
+    for t in taken[1:]:
+        extra = extra.unionByName(t)
+    both = held.join(extra.withColumn("more", F.lit(1)), doc_id, "left")
+    return both.select(doc_id, "source", "lang", "n_tokens", (F.col("full") + F.coalesce("more", F.lit(0))).cast("bigint").alias("copies")).where("copies > 0")
 
 
 def _ahead(rows: DataFrame, doc_id: str) -> DataFrame:
