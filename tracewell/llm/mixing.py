@@ -107,7 +107,8 @@ def mixture(docs: DataFrame, doc_id: str, leaves: list[Leaf]) -> DataFrame:
 
     A leaf's budget of b tokens out of t gives floor(b / t) epochs to every document and one more to
     those that come first in the next epoch's order until the rest is reached. A document too long
-    for what is left is passed over: those behind it that fit go on filling the rest, and of the
+    for what is left is passed over: those behind it that fit go on filling the rest. What no
+    document of a leaf fits goes to another language of its source. Of the
     last of them the one that crosses the line is taken when that comes nearer to the budget.
     Documents without tokens, and of sources that aren't targets, aren't used.
     """
@@ -125,15 +126,18 @@ def mixture(docs: DataFrame, doc_id: str, leaves: list[Leaf]) -> DataFrame:
         return docs.select(doc_id, "source", "lang", "n_tokens", F.lit(0).cast("bigint").alias("copies")).where("false")
     left = plan.select("source", "lang", F.col("rest").alias("left"))
     open_rows = held.select(doc_id, "source", "lang", "n_tokens", "at", "slices")
+    untaken = {(r[0], r[1]): next(x.tokens for x in leaves if (x.path[2], x.path[1]) == (r[0], r[1])) * (r[3] > 0) for r in rows}
     while True:
         round_ = scratch.keep(_ahead(open_rows.join(F.broadcast(left), ["source", "lang"]).where("n_tokens <= left"), doc_id).withColumn("fits", F.col("ahead") + F.col("n_tokens") <= F.col("left")))
         got = round_.where("fits").groupBy("source", "lang").agg(F.sum("n_tokens").alias("got"))
-        now = [(r["source"], r["lang"], r["left"] - (r["got"] or 0)) for r in left.join(got, ["source", "lang"], "left").collect()]  # as many rows as leaves
+        state = {(r["source"], r["lang"]): (r["left"], r["got"] or 0) for r in left.join(got, ["source", "lang"], "left").collect()}  # as many rows as leaves
+        untaken = {k: untaken[k] - g for k, (_, g) in state.items()}
+        now = _passed_on({k: x - g for k, (x, g) in state.items()}, {k for k, (_, g) in state.items() if not g}, untaken)
         taken.append(round_.where("fits").select(doc_id))
-        owed, was = sum(x[2] for x in now), left.agg(F.sum("left")).first()[0]
-        left = spark.createDataFrame(now, "source string, lang string, left double")
+        owed, was = sum(now.values()), left.agg(F.sum("left")).first()[0]
+        left = spark.createDataFrame([(*k, v) for k, v in now.items()], "source string, lang string, left double")
         open_rows = round_.where("not fits").drop("left", "ahead", "fits")
-        if owed <= ROUGH * total or owed == was:
+        if owed <= ROUGH * total or owed == was and not any(g for _, g in state.values()):
             break
     last = _ahead(open_rows.join(F.broadcast(left), ["source", "lang"]).where("n_tokens <= 2 * left"), doc_id)
     taken.append(last.where(F.col("ahead") + F.col("n_tokens") / 2 <= F.col("left")).select(doc_id))
@@ -144,6 +148,17 @@ def mixture(docs: DataFrame, doc_id: str, leaves: list[Leaf]) -> DataFrame:
     return both.select(doc_id, "source", "lang", "n_tokens", (F.col("full") + F.coalesce("more", F.lit(0))).cast("bigint").alias("copies")).where("copies > 0")
 
 
+def _passed_on(left: dict[tuple[str, str], float], stuck: set[tuple[str, str]], untaken: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
+    """What leaves that could take nothing have left goes to the leaf of their source with most tokens to give."""
+    out = dict(left)
+    for k in stuck:
+        others = [x for x in left if x[0] == k[0] and x not in stuck and untaken[x] > out[x]]
+        if out[k] > 0 and others:
+            best = max(others, key=lambda x: (untaken[x], x))
+            out[best], out[k] = out[best] + out[k], 0.0
+    return out
+
+
 def _ahead(rows: DataFrame, doc_id: str) -> DataFrame:
     """Adds ``ahead``, the tokens that come before each row in its leaf's order ``at``.
 
