@@ -134,10 +134,10 @@ def mixture(docs: DataFrame, doc_id: str, leaves: list[Leaf]) -> DataFrame:
         untaken = {k: untaken[k] - g for k, (_, g) in state.items()}
         now = _passed_on({k: x - g for k, (x, g) in state.items()}, {k for k, (_, g) in state.items() if not g}, untaken)
         taken.append(round_.where("fits").select(doc_id))
-        owed, was = sum(now.values()), left.agg(F.sum("left")).first()[0]
+        owed = sum(now.values())
         left = spark.createDataFrame([(*k, v) for k, v in now.items()], "source string, lang string, left double")
         open_rows = round_.where("not fits").drop("left", "ahead", "fits")
-        if owed <= ROUGH * total or owed == was and not any(g for _, g in state.values()):
+        if owed <= ROUGH * total or now == {k: x for k, (x, _) in state.items()}:
             break
     last = _ahead(open_rows.join(F.broadcast(left), ["source", "lang"]).where("n_tokens <= 2 * left"), doc_id)
     taken.append(last.where(F.col("ahead") + F.col("n_tokens") / 2 <= F.col("left")).select(doc_id))
@@ -151,10 +151,9 @@ def mixture(docs: DataFrame, doc_id: str, leaves: list[Leaf]) -> DataFrame:
 def _passed_on(left: dict[tuple[str, str], float], stuck: set[tuple[str, str]], untaken: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
     """What leaves that could take nothing have left goes to the leaf of their source with most tokens to give."""
     out = dict(left)
-    for k in stuck:
-        others = [x for x in left if x[0] == k[0] and x not in stuck and untaken[x] > out[x]]
-        if out[k] > 0 and others:
-            best = max(others, key=lambda x: (untaken[x], x))
+    for k in sorted(stuck):
+        best = max((x for x in left if x[0] == k[0]), key=lambda x: (untaken[x], x))
+        if out[k] > 0 and best != k and untaken[best] > out[best] + out[k]:
             out[best], out[k] = out[best] + out[k], 0.0
     return out
 
