@@ -128,7 +128,9 @@ def mixture(docs: DataFrame, doc_id: str, leaves: list[Leaf]) -> DataFrame:
     open_rows = held.select(doc_id, "source", "lang", "n_tokens", "at", "slices")
     untaken = {(r[0], r[1]): next(x.tokens for x in leaves if (x.path[2], x.path[1]) == (r[0], r[1])) * (r[3] > 0) for r in rows}
     while True:
-        round_ = scratch.keep(_ahead(open_rows.join(F.broadcast(left), ["source", "lang"]).where("n_tokens <= left"), doc_id).withColumn("fits", F.col("ahead") + F.col("n_tokens") <= F.col("left")))
+        met = open_rows.join(F.broadcast(left), ["source", "lang"])
+        fitting = _ahead(met.where("n_tokens <= left"), doc_id).withColumn("fits", F.col("ahead") + F.col("n_tokens") <= F.col("left")).drop("ahead")
+        round_ = scratch.keep(fitting.unionByName(met.where("n_tokens > left").withColumn("fits", F.lit(False))))
         got = round_.where("fits").groupBy("source", "lang").agg(F.sum("n_tokens").alias("got"))
         state = {(r["source"], r["lang"]): (r["left"], r["got"] or 0) for r in left.join(got, ["source", "lang"], "left").collect()}  # as many rows as leaves
         untaken = {k: untaken[k] - g for k, (_, g) in state.items()}
@@ -136,7 +138,7 @@ def mixture(docs: DataFrame, doc_id: str, leaves: list[Leaf]) -> DataFrame:
         taken.append(round_.where("fits").select(doc_id))
         owed = sum(now.values())
         left = spark.createDataFrame([(*k, v) for k, v in now.items()], "source string, lang string, left double")
-        open_rows = round_.where("not fits").drop("left", "ahead", "fits")
+        open_rows = round_.where("not fits").drop("left", "fits")
         if owed <= ROUGH * total or now == {k: x for k, (x, _) in state.items()}:
             break
     last = _ahead(open_rows.join(F.broadcast(left), ["source", "lang"]).where("n_tokens <= 2 * left"), doc_id)
