@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, reference
 
 
 def queries() -> dict:
-    return {**problems.QUERIES}
+    return {**problems.QUERIES, **reference.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**problems.ORACLES, **reference.ORACLES}
