@@ -162,5 +162,46 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).groupBy("from_version", "to_version", "change_kind", F.array_join("changed_columns", ",").alias("changed_columns")).agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-ORACLES: dict[str, str] = {}
 QUERIES = {f.__name__: f for f in (p1_found, p1_claims, p1_cases, p3_found, p3_paths, p3_descendants, p4_found, p4_table, p4_report, p5_found, p5_report, p6_found, p6_report)}
+
+# SQL for the driver: the same meaning in one statement each
+
+_PID = r"upper(regexp_replace(regexp_replace({c}, '^[\s\pZ]+|[\s\pZ]+$', '', 'g'), '^.*/', ''))"
+_SAID = r"{c} is not null and not regexp_full_match({c}, '[\s\pZ]*')"
+_T = "t as (select * from transcripts qualify row_number() over (partition by transcript_id order by loaded_at desc) = 1)"
+_A = "a as (select * from adversarial_cases qualify row_number() over (partition by case_id order by added_at desc) = 1)"
+_CL = "cl as (select transcript_id, written_at, unnest(claims) c, unnest(range(len(claims))) i from t)"
+_SUB = f"s as (select distinct {_PID.format(c='subject_id')} c, {_PID.format(c='object_id')} p from edges where regexp_matches(lower(predicate), '(^|:)subclass_of\\s*$') or lower(trim(predicate)) = 'subclass_of'), ids as (select c id from s union select p from s)"
+_TREE = f"{_SUB}, w(id, cur, d, low) as (select id, id, 0, id from ids union all select w.id, s.p, d + 1, least(low, s.p) from w join s on s.c = w.cur where d < 300), m as (select id, max(d) d from w group by 1), onl as (select distinct w.id from w where w.cur = w.id and w.d > 0), lp as (select w.id, min(w.low) low from w join onl using (id) where w.d <= (select min(x.d) from w x where x.id = w.id and x.cur = w.id and x.d > 0) group by 1)"
+_REFS = f"""{_T}, {_A}, {_CL}, r as (
+ select 'transcripts' ref_table, 'claims.subject_id' ref_field, transcript_id::varchar record_id, i::bigint item_pos, c.subject_id ref, written_at tm from cl
+ union all select 'transcripts', 'claims.object_id', transcript_id::varchar, i::bigint, c.object_id, written_at from cl
+ union all select 'adversarial_cases', 'expected.resolution.node_id', case_id, 0::bigint, expected.resolution.node_id, added_at from a),
+ b as (select {_PID.format(c='id')} id, min(retrieved_at::timestamptz at time zone 'UTC') born from (select id, retrieved_at from nodes union all select id, retrieved_at from seed_nodes) group by 1),
+ k as (select ref_table, ref_field, record_id, item_pos, {_PID.format(c='ref')} ref_id, tm from r where {_SAID.format(c='ref')}),
+ o as (select k.*, case when b.id is null then 'missing' when born > tm then 'late' when removed_at <= tm and not coalesce(restored_at <= tm, false) then 'deleted' end cause
+  from k left join b on b.id = k.ref_id left join node_removals m on m.id = k.ref_id)"""
+_VERSIONS = f"""v as (select artifact_version, row_number() over (order by list_transform(regexp_extract_all(artifact_version, '[0-9]+'), lambda x: x::bigint)) i from (select distinct artifact_version from edge_snapshots)),
+ h as (select i, {_PID.format(c='subject_id')} subject_id, {_PID.format(c='object_id')} object_id, source_id, prose_tier from edge_snapshots join v using (artifact_version)
+  qualify row_number() over (partition by i, {_PID.format(c='subject_id')}, {_PID.format(c='object_id')} order by delivered_at desc, source_id desc nulls last, prose_tier desc nulls last) = 1),
+ z as (select coalesce(x.i + 1, y.i) i, coalesce(x.subject_id, y.subject_id) subject_id, coalesce(x.object_id, y.object_id) object_id, case when x.i is null then 'added' when y.i is null then 'removed' when x.source_id is distinct from y.source_id or x.prose_tier is distinct from y.prose_tier then 'changed' end change_kind,
+   concat_ws(',', case when x.i is not null and y.i is not null and x.source_id is distinct from y.source_id then 'source_id' end, case when x.i is not null and y.i is not null and x.prose_tier is distinct from y.prose_tier then 'prose_tier' end) changed_columns
+  from h x full join h y on y.i = x.i + 1 and y.subject_id = x.subject_id and y.object_id = x.object_id),
+ ch as (select f.artifact_version from_version, t.artifact_version to_version, subject_id, object_id, change_kind, changed_columns from z join v t on t.i = z.i join v f on f.i = z.i - 1 where change_kind is not null)"""
+ORACLES: dict[str, str] = {
+    "p1_found": f"""with {_T}, {_A}, x as (
+ select case_id record_id, 'expected.forbidden_triples' list_name, o outer_pos, unnest(range(len(y))) inner_pos, unnest(y) item from (select case_id, unnest(expected.forbidden_triples) y, unnest(range(len(expected.forbidden_triples))) o from a)
+ union all select case_id, 'expected.resolution.node_id', 0, 0, expected.resolution.node_id from a
+ union all select transcript_id::varchar, 'claims.source_ids', o, unnest(range(len(y.source_ids))), unnest(y.source_ids) from (select transcript_id, unnest(claims) y, unnest(range(len(claims))) o from t))
+ select * from x where {_SAID.format(c='item')}""",
+    "p3_found": f"""with recursive {_TREE}, g as (select w.id, w.cur, w.d from w join m using (id) where w.d = m.d)
+ select g.id node_id, case when m.d < 300 then g.cur when lp.id is not null then lp.low else l2.low end root_id, (case when m.d < 300 then m.d when lp.id is not null then -1 else -2 end)::bigint depth
+ from g join m using (id) left join lp using (id) left join lp l2 on l2.id = g.cur""",
+    "p3_descendants": f"with recursive {_TREE} select w.cur ancestor_id, w.id node_id, w.d::bigint distance from w join m using (id) where w.d > 0 and m.d < 300",
+    "p5_found": f"with {_REFS} select ref_table, ref_field, record_id, item_pos, ref_id, cause from o where cause is not null",
+    "p5_report": f"with {_REFS} select ref_table, ref_field, strftime(tm, '%Y-%m') as \"month\", cause, count(*) n_refs, count(distinct record_id) n_records from o where cause is not null group by all",
+    "p6_found": f"with {_VERSIONS} select from_version, to_version, subject_id, object_id, change_kind from ch",
+    "p6_report": f"with {_VERSIONS} select from_version, to_version, change_kind, changed_columns, count(*) n_edges from ch group by all",
+    "p1_claims": f"with {_T}, {_CL} select transcript_id, i::bigint pos_0, c.subject, c.predicate, c.object, c.subject_id, c.object_id, c.verification from cl",
+    "p1_cases": f"with {_A} select case_id, expected.refusal expected_refusal, expected.max_approved_claims expected_max_approved_claims, expected.resolution.query_term expected_resolution_query_term, expected.resolution.node_id expected_resolution_node_id, expected.resolution.reason expected_resolution_reason, expected.must_name_gap expected_must_name_gap from a",
+}

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json as js
-from ..functions import names
+from ..functions import markup, names
+from ..functions import text as tx
 from ..functions.ids import is_blank, plain_id
-from ..operators import corpus, gate, graph, ordered, stats
+from ..operators import corpus, gate, graph, ordered, screen, stats
+from ..sources import snapshots
 from ..sources.tables import read_table
+from ..streaming import events as ev
 from . import relations as rel
 from .relations import STATEMENT, with_
+from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -595,3 +599,106 @@ def answered(spark, sf_dir):
     t = rel.transcripts(spark, sf_dir, ["prose", "claims[].predicate"])
     has, spoken = F.coalesce(F.size("claims"), F.lit(0)) > 0, ~is_blank(F.col("prose"))
     return t.agg(F.count_if(spoken & has).alias("answered_with_claims"), F.count_if(~spoken).alias("without_prose"), F.count_if(~has).alias("without_claims"))
+
+
+# texts
+
+
+def _articles(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "subject_id", "title", "text", "source"])
+    wiki = d.where(F.lower(F.trim("source")) == "wikitext").withColumn("subject_id", plain_id(F.col("subject_id")))
+    return screen.one_article(wiki)
+
+
+@query(f"with w as (select {rel.pid('subject_id')} subject_id, doc_id, title from documents where lower(trim(source)) = 'wikitext' and subject_id is not null) select subject_id, min(doc_id) doc_id, arg_min(coalesce(title, ''), doc_id) title from w group by 1")
+def subject_articles(spark, sf_dir):
+    """The one article that is read for each subject."""
+    return _articles(spark, sf_dir).select("subject_id", "doc_id", F.coalesce("title", F.lit("")).alias("title"))
+
+
+_REGEX = {k: v.replace("(?:", "(") for k, v in {"a": markup.ASSERTS, "e": markup.EXPOSURE}.items()}
+
+
+@query(f"select doc_id, case when regexp_matches(lower(text), '{_REGEX['a']}') then 'ASSERTS' when regexp_matches(lower(text), '{_REGEX['e']}') then 'EXPOSURE' else 'NONE' end assertion from documents")
+def assertion_classes(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", screen.assertion_of(F.col("text")).alias("assertion"))
+
+
+@query()
+def stripped_documents(spark, sf_dir):
+    """Documents without their markup."""
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", screen.prose(F.col("text")).alias("prose"))
+
+
+@query()
+def edge_verdicts(spark, sf_dir):
+    """What the subject's article says for each edge."""
+    v = screen.screened(rel.edges(spark, sf_dir), _articles(spark, sf_dir), rel.nodes(spark, sf_dir))
+    return v.select("subject_id", "object_id", "tier", "hits", "assertion", "taxonomic_lead", "taxonomic_hits", F.array_join("sentences", " ").alias("sentences"))
+
+
+@query()
+def screening_exclusions(spark, sf_dir):
+    return screen.excluded(screen.screened(rel.edges(spark, sf_dir), _articles(spark, sf_dir), rel.nodes(spark, sf_dir)))
+
+
+_ASKED = """case when query similar to '.*lead to\?' or query like 'List everything that descends%' or query like '%picked up ideas%' or query like '%later styles%' then 'descendants'
+ when query similar to '.*descend from\?' or query like '%fed into%' or query like '%ancestry%' or query like '%shaped%' or query like '%older music%' then 'origins' end"""
+_ABOUT = ["^What did (.+) lead to\\?$", "^Which styles does (.+) descend from\\?$", "^List everything that descends from (.+)\\.$", "^Who picked up ideas from (.+)\\?$", "^Can you tell me what fed into (.+)\\?$", "^Trace the ancestry of (.+) for me\\.$", "^Which later styles grew out of (.+)\\?$", "^What shaped (.+) in its early years\\?$", "^(.+): which older music stands behind it\\?$"]
+
+
+@query(f"{with_('t')} select transcript_id, {_ASKED} direction, coalesce(" + ", ".join(f"nullif(regexp_extract(query, '{p}', 1), '')" for p in _ABOUT) + ") about from t")
+def parsed_questions(spark, sf_dir):
+    t = rel.transcripts(spark, sf_dir, ["query"])
+    return t.select("transcript_id", tx.asked_direction(F.col("query")).alias("direction"), tx.asked_about(F.col("query")).alias("about"))
+
+
+@query(f"{with_('c', 't')}, k as (select run_id, count(*) n, count(distinct subject_id) ns, count(distinct object_id) no from c group by 1) select transcript_id, coalesce(n, 0) n_claims, case when coalesce(n, 0) = 0 then null when n = 1 then 'single' when ns = 1 then 'fan_out' when no = 1 then 'fan_in' else 'mixed' end shape from t left join k on k.run_id = t.transcript_id")
+def answer_shapes(spark, sf_dir):
+    c = rel.claims(spark, sf_dir).groupBy(F.col("run_id").alias("transcript_id")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("subject_id").alias("ns"), F.countDistinct("object_id").alias("no"))
+    t = rel.transcripts(spark, sf_dir, []).select("transcript_id").join(c, "transcript_id", "left").na.fill(0, ["n", "ns", "no"])
+    return t.select("transcript_id", F.col("n").alias("n_claims"), tx.shape(F.col("ns"), F.col("no"), F.col("n")).alias("shape"))
+
+
+# events
+
+
+def _events(spark, sf_dir):
+    runs = rel.transcripts(spark, sf_dir, ["prose", "refused"]).select(F.col("transcript_id").alias("run_id"), "prose", "refused")
+    return ev.events_of(claim_gate(spark, sf_dir), runs)
+
+
+_FOLD_SQL = f"{with_('ea', 'n', 'c')}, {_GATE.format(proposals='select run_id, ord, subject_id, predicate, object_id from c')}, k as (select run_id, count(*) n, count(*) filter (reason is null) ok from g group by 1) select transcript_id run_id, 3 + coalesce(n, 0) n_events, coalesce(ok, 0) n_approved, coalesce(n - ok, 0) n_rejected, coalesce(refused, false) refused, coalesce(prose, '') prose, true complete from t left join k on k.run_id = transcript_id"
+
+
+@query(_FOLD_SQL)
+def event_fold(spark, sf_dir):
+    return ev.folded(_events(spark, sf_dir))
+
+
+@query(_FOLD_SQL)
+def event_fold_stream(spark, sf_dir):
+    """The same fold by a stream over the events' files, with state per run."""
+    scratch = Scratch(spark, "stream")
+    return ev.run_stream(scratch.keep(_events(spark, sf_dir))._scratch_path, scratch, spark)
+
+
+@query()
+def event_frames(spark, sf_dir):
+    return ev.frames(_events(spark, sf_dir))
+
+
+# snapshots
+
+
+@query()
+def snapshot_manifest(spark, sf_dir):
+    m = snapshots.manifest(rel.nodes(spark, sf_dir), rel.edges(spark, sf_dir), "1.0.0")
+    return m.withColumn("verification_counts", F.to_json("verification_counts"))
+
+
+@query(f"{with_('n')}, h as (select kind, ('0x' || substr(sha256(id || '|' || coalesce(label, '')), 1, 15))::bigint h from n) select kind, count(*) n_rows, bit_xor(h) folded from h group by 1")
+def folded_digests(spark, sf_dir):
+    """An order-independent digest of the nodes per kind."""
+    h = F.conv(F.substring(F.sha2(F.concat("id", F.lit("|"), F.coalesce("label", F.lit(""))), 256), 1, 15), 16, 10).cast("bigint")
+    return rel.nodes(spark, sf_dir).select("kind", h.alias("h")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor("h").alias("folded"))
