@@ -123,7 +123,8 @@ def flat_tables(df: DataFrame, key: str, paths: list[str] | None = None, loaded:
     once = latest_records(slim, key, loaded)
     if loaded and loaded not in roots:
         once = once.drop(loaded)
-    rows = triples(once, key, [x.path for x in wanted])
+    # the key goes by a name of its own meanwhile, as it may be called like a column of the triples
+    rows = triples(once.withColumnRenamed(key, "_record"), "_record", [x.path for x in wanted])
     groups = dict.fromkeys(g for x in wanted for g in _enclosing(x.group))
     out = {}
     for group in groups:
@@ -131,7 +132,7 @@ def flat_tables(df: DataFrame, key: str, paths: list[str] | None = None, loaded:
         depth = group.count("[]")
         at = [F.col("ordinals")[i].alias(f"pos_{i}") for i in range(depth)]
         if not mine:  # a list of lists: its rows are known from what lies in them
-            out[group] = rows.where(F.col("path").startswith(group)).select(key, *at).distinct()
+            out[group] = rows.where(F.col("path").startswith(group)).select(F.col("_record").alias(key), *at).distinct()
             continue
         fields, used = [], {key, *[f"pos_{i}" for i in range(depth)]}
         for x in mine:
@@ -141,7 +142,7 @@ def flat_tables(df: DataFrame, key: str, paths: list[str] | None = None, loaded:
             used.add(name)
             fields.append(F.max(F.when(F.col("path") == x.path, F.col("value"))).cast(x.kind).alias(name))
         own = [group, *[x.path for x in mine]]
-        out[group] = rows.where(F.col("path").isin(own)).groupBy(key, *at).agg(*fields)
+        out[group] = rows.where(F.col("path").isin(own)).groupBy("_record", *at).agg(*fields).withColumnRenamed("_record", key)
     return out
 
 

@@ -28,17 +28,19 @@ def orphans(refs: DataFrame, intervals: DataFrame) -> DataFrame:
 
     ``missing``: no such parent. ``late``: it is born after ``at``. ``deleted``: removed at or before
     ``at`` and not restored by then. Late goes before deleted. Null keys refer to nothing and are left
-    out; with a null ``at`` only ``missing`` can be told. All other columns pass through.
+    out; with a null ``at`` only ``missing`` can be told. All other columns pass through, but one that
+    is called ``cause`` already, which is replaced.
 
     The merge hint asks for the sorted merge even where one side would fit a broadcast. The parents
     have one row per key, so when one key holds much of the references their partition is split at
     run time (adaptive skew join) and the parent row goes to each part.
     """
-    held = refs.where("key is not null")
-    met = held.join(intervals.withColumn("found", F.lit(True)).hint("merge"), "key", "left")
+    held = refs.where("key is not null").drop("cause")
+    parents = intervals.select("key", F.lit(True).alias("_found"), F.col("born").alias("_born"), F.col("removed").alias("_removed"), F.col("restored").alias("_restored"))
+    met = held.join(parents.hint("merge"), "key", "left")
     cause = (
-        F.when(F.col("found").isNull(), "missing")
-        .when(F.col("born") > F.col("at"), "late")
-        .when((F.col("removed") <= F.col("at")) & ~F.coalesce(F.col("restored") <= F.col("at"), F.lit(False)), "deleted")
+        F.when(F.col("_found").isNull(), "missing")
+        .when(F.col("_born") > F.col("at"), "late")
+        .when((F.col("_removed") <= F.col("at")) & ~F.coalesce(F.col("_restored") <= F.col("at"), F.lit(False)), "deleted")
     )
-    return met.withColumn("cause", cause).where("cause is not null").drop("born", "removed", "restored", "found")
+    return met.withColumn("cause", cause).where("cause is not null").drop("_born", "_removed", "_restored", "_found")

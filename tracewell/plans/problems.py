@@ -188,7 +188,22 @@ _VERSIONS = f"""v as (select artifact_version, row_number() over (order by list_
    concat_ws(',', case when x.i is not null and y.i is not null and x.source_id is distinct from y.source_id then 'source_id' end, case when x.i is not null and y.i is not null and x.prose_tier is distinct from y.prose_tier then 'prose_tier' end) changed_columns
   from h x full join h y on y.i = x.i + 1 and y.subject_id = x.subject_id and y.object_id = x.object_id),
  ch as (select f.artifact_version from_version, t.artifact_version to_version, subject_id, object_id, change_kind, changed_columns from z join v t on t.i = z.i join v f on f.i = z.i - 1 where change_kind is not null)"""
+def _cell(f: drift.Field) -> str:
+    """The path and the type of a field in a file, for DuckDB."""
+    spots = ["$." + ".".join(f'"{k}"' for k in p.split(".")) for p in f.paths]
+    path = "case " + " ".join(f"when json_exists(body, '{x}') then '{p}'" for x, p in zip(spots, f.paths, strict=True)) + " end"
+    kind = "case " + " ".join(f"when json_exists(body, '{x}') then json_type(body, '{x}')" for x in spots) + " end"
+    value = "case " + " ".join(f"when json_exists(body, '{x}') then json_extract(body, '{x}') " for x in spots) + " end"
+    return f"select feed, file_id, written_at, '{f.name}' field_name, {value} j, {path} path, case {kind} when 'VARCHAR' then 'string' when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'decimal' when 'ARRAY' then 'list' when 'OBJECT' then 'object' when 'BOOLEAN' then 'boolean' end tag from manifest_files"
+
+
+_CELLS = "x as (" + " union all ".join(_cell(f) for f in P4_FIELDS) + ")"
 ORACLES: dict[str, str] = {
+    "p4_found": f"""with {_CELLS}, y as (select *, lag(path) over w before, row_number() over w k, last_value(tag ignore nulls) over (partition by feed, field_name order by written_at, file_id rows between unbounded preceding and 1 preceding) was from x window w as (partition by feed, field_name order by written_at, file_id))
+ select feed, file_id, field_name, change_kind from (select *, unnest([case when before is null and path is not null then 'added' end, case when before is not null and path is null then 'removed' end, case when before <> path then 'renamed' end, case when before is not null and path is not null and was <> tag then 'retyped' end]) change_kind from y where k > 1) where change_kind is not null""",
+    "p4_table": f"with {_CELLS}, y as (select *, case when field_name = 'coverage.coarser_than_year' then (case when try_cast(v as double) = floor(try_cast(v as double)) then try_cast(v as double)::bigint::varchar end) else v end canonical from (select *, case when tag = 'list' then array_to_string(from_json(j, '[\"VARCHAR\"]'), ' ') when tag = 'object' then (case field_name when 'notes' then j->>'$.summary' when 'generator' then trim(concat_ws(' ', j->>'$.module', array_to_string(from_json(j->'$.args', '[\"VARCHAR\"]'), ' '))) else j->>'$.n' end) when tag is not null then j->>'$' end v from x)) select file_id, max(feed) feed, "
+    + ", ".join(f"max(path) filter (field_name = '{f.name}') {f.name.replace('.', '_')}_path, max(coalesce(tag, case when path is not null then 'null' end)) filter (field_name = '{f.name}') {f.name.replace('.', '_')}_tag, max(canonical) filter (field_name = '{f.name}'){'::bigint' if f.canonical == 'count' else ''} {f.name.replace('.', '_')}" for f in P4_FIELDS)
+    + " from y group by 1",
     "p1_found": f"""with {_T}, {_A}, x as (
  select case_id record_id, 'expected.forbidden_triples' list_name, o outer_pos, unnest(range(len(y))) inner_pos, unnest(y) item from (select case_id, unnest(expected.forbidden_triples) y, unnest(range(len(expected.forbidden_triples))) o from a)
  union all select case_id, 'expected.resolution.node_id', 0, 0, expected.resolution.node_id from a
