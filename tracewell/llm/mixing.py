@@ -113,6 +113,7 @@ def mixture(docs: DataFrame, doc_id: str, leaves: list[Leaf]) -> DataFrame:
     Documents without tokens, and of sources that aren't targets, aren't used.
     """
     spark = docs.sparkSession
+    docs = docs.select(doc_id, "source", "lang", "n_tokens")
     rows = []
     for x in leaves:
         if x.tokens and x.budget > 0:
