@@ -48,7 +48,7 @@ class Registry:
         """Each function's name and arguments as a JSON schema."""
         return [{"name": n, "input": {"type": "object", "properties": {a: {"type": "string"} for a in args}, "required": list(args)}} for n, (_, args) in self._known.items()]
 
-    def invoke(self, name: str, **arguments: str) -> Result:
+    def invoke(self, name: str, /, **arguments: str) -> Result:
         if name not in self._known:
             return Result(None, f"no function {name}")
         f, wanted = self._known[name]
