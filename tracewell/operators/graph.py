@@ -59,8 +59,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, direction: str = UP, ta
         hops += 1
         tried = front.join(steps, front.node == steps.a).select("source", F.col("b").alias("node"), F.concat("steps", F.array("ord")).alias("steps"), F.concat("chain", F.array("b")).alias("chain"))
         new = tried.groupBy("source", "node").agg(F.min(F.struct("steps", "chain")).alias("p")).join(seen, ["source", "node"], "left_anti").select("source", "node", "p.steps", "p.chain")
-        front = scratch.keep(new)
-        if front.isEmpty():
+        front, n = scratch.keep_counting(new, F.count(F.lit(1)))
+        if not n:
             break
         levels.append(front)
         seen = seen.unionByName(front.select("source", "node"))
@@ -97,8 +97,8 @@ def distances(edges: DataFrame, sources: DataFrame, direction: str = UP) -> Data
     while True:
         level += 1
         tried = front.join(steps, front.node == steps.a).select("source", F.col("b").alias("node")).distinct()
-        front = scratch.keep(tried.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(level).cast("bigint")))
-        if front.isEmpty():
+        front, n = scratch.keep_counting(tried.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(level).cast("bigint")), F.count(F.lit(1)))
+        if not n:
             return seen
         seen = seen.unionByName(front)
 
@@ -119,9 +119,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         heard = both.join(names.select(F.col("id").alias("v"), "name"), "v").groupBy(F.col("u").alias("id")).agg(F.min("name").alias("heard"))
         new = scratch.keep(names.join(heard, "id", "left").select("id", F.col("name").alias("was"), F.least("name", F.coalesce("heard", "name")).alias("name")))
         jump = new.select(F.col("id").alias("name"), F.col("name").alias("to"))
-        after = scratch.keep(new.join(jump, "name").select("id", F.col("to").alias("name"), (F.col("to") < F.col("was")).alias("fell")))
+        after, fell = scratch.keep_counting(new.join(jump, "name").select("id", F.col("to").alias("name"), (F.col("to") < F.col("was")).alias("fell")), F.count_if("fell"))
         names = after.drop("fell")
-        if after.where("fell").isEmpty():
+        if not fell:
             return names.withColumnRenamed("name", "component")
 
 

@@ -51,16 +51,14 @@ def hierarchy(links: DataFrame, every: int = SPLITTER_EVERY, with_paths: bool =
     )
     # a walk ends at a root or at a splitter; a root's own walk has ended where it began
     stops = pointers.where(stop).select(F.col("node").alias("at"), F.lit(True).alias("ended"))
-    walk = scratch.keep(_marked(walk, stops))
-    ended, unended = _walk_on(scratch, walk, with_paths)
+    ended, unended = _walk_on(scratch, _marked(walk, stops), with_paths)
     # the reduced graph: splitters and roots, each pointing to the next splitter or root above; a
     # splitter with no stop above circles in place
     nodes = pointers.where(stop).select("node")
     in_place = unended.join(nodes, "node", "left_semi").withColumn("at", F.col("node"))
     reduced = _union([ended.join(nodes, "node", "left_semi"), in_place]).drop("ended")
     roots = pointers.where(F.col("parent").isNull()).select(F.col("node").alias("at"), F.lit(True).alias("ended"))
-    reduced = scratch.keep(_marked(reduced, roots))
-    solved, circling = _walk_on(scratch, reduced, with_paths)
+    solved, circling = _walk_on(scratch, _marked(reduced, roots), with_paths)
     above = solved.select(F.col("node").alias("at"), F.col("at").alias("root"), F.col("dist").alias("more"), *([F.col("path").alias("above")] if with_paths else []))
     good = ended.join(above, "at").select(
         "node",
@@ -69,7 +67,10 @@ def hierarchy(links: DataFrame, every: int = SPLITTER_EVERY, with_paths: bool =
         *([F.reverse(F.concat(F.array("node"), "path", "above")).alias("path")] if with_paths else []),
     )
     lost = unended.select("node").unionByName(ended.join(circling.select(F.col("node").alias("at")), "at", "left_semi").select("node"))
-    loops = _loops(scratch, scratch.keep(lost.join(pointers, "node").select("node", F.col("parent").alias("at"), F.least("node", "parent").alias("low"))))
+    start, n = scratch.keep_counting(lost.join(pointers, "node").select("node", F.col("parent").alias("at"), F.least("node", "parent").alias("low")), F.count(F.lit(1)))
+    if not n:
+        return good
+    loops = _loops(scratch, start)
     if with_paths:
         loops = loops.withColumn("path", F.lit(None).cast("array<string>"))
     return good.unionByName(loops)
@@ -85,20 +86,17 @@ def _walk_on(scratch: Scratch, walk: DataFrame, with_paths: bool) -> tuple[DataF
     Distances to the next stop have no gaps along a walk, so a round that ends nothing shows that
     what remains never ends. ``path`` holds the nodes after the start up to ``at``.
     """
+    walk, n = scratch.keep_counting(walk, F.count_if(~F.col("ended")))
     done, left = [walk.where("ended")], walk.where("not ended")
-    n = left.count()
     while n:
         # a step goes on from any node: from one whose walk has ended, too
         steps = _union([*done, left])
         to = steps.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("dist").alias("more"), *([F.col("path").alias("further")] if with_paths else []), "ended")
-        moved = scratch.keep(
-            left.drop("ended").join(to, "at").select(
-                "node", F.col("to").alias("at"), (F.col("dist") + F.col("more")).alias("dist"), *([F.concat("path", "further").alias("path")] if with_paths else []), "ended"
-            )
-        )
+        step = left.drop("ended").join(to, "at").select("node", F.col("to").alias("at"), (F.col("dist") + F.col("more")).alias("dist"), *([F.concat("path", "further").alias("path")] if with_paths else []), "ended")
+        before = n
+        moved, n = scratch.keep_counting(step, F.count_if(~F.col("ended")))
         done.append(moved.where("ended"))
         left = moved.where("not ended")
-        before, n = n, left.count()
         if n == before:
             break
     return _union(done), left

@@ -642,7 +642,7 @@ def screening_exclusions(spark, sf_dir):
     return screen.excluded(screen.screened(rel.edges(spark, sf_dir), _articles(spark, sf_dir), rel.nodes(spark, sf_dir)))
 
 
-_ASKED = """case when query similar to '.*lead to\?' or query like 'List everything that descends%' or query like '%picked up ideas%' or query like '%later styles%' then 'descendants'
+_ASKED = r"""case when query similar to '.*lead to\?' or query like 'List everything that descends%' or query like '%picked up ideas%' or query like '%later styles%' then 'descendants'
  when query similar to '.*descend from\?' or query like '%fed into%' or query like '%ancestry%' or query like '%shaped%' or query like '%older music%' then 'origins' end"""
 _ABOUT = ["^What did (.+) lead to\\?$", "^Which styles does (.+) descend from\\?$", "^List everything that descends from (.+)\\.$", "^Who picked up ideas from (.+)\\?$", "^Can you tell me what fed into (.+)\\?$", "^Trace the ancestry of (.+) for me\\.$", "^Which later styles grew out of (.+)\\?$", "^What shaped (.+) in its early years\\?$", "^(.+): which older music stands behind it\\?$"]
 

@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -51,6 +51,12 @@ class Scratch:
         kept._scratch_path = path
         return kept
 
+    def keep_counting(self, df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+        """As ``keep``, with an aggregate that is taken while the rows are written."""
+        seen = Observation()
+        kept = self.keep(df.observe(seen, what.alias("n")))
+        return kept, seen.get["n"]
+
     def drop(self, df: DataFrame) -> None:
         self._remove(df._scratch_path)
 
