@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
+from .skew import even_lookup
 
 SPLITTER_EVERY = 8  # one node in so many is a splitter
 LOOP, INTO_LOOP = -1, -2
+LARGE = 200_000  # walks; fewer are joined as they are, whoever they meet
 
 
 def is_splitter(node: Column, every: int = SPLITTER_EVERY) -> Column:
@@ -33,8 +35,8 @@ def hierarchy(links: DataFrame, every: int = SPLITTER_EVERY, with_paths: bool =
 
     Each round is one equi-join of the unended walks with the pointers and is written to the shared
     folder, so rounds neither recompute each other nor are lost with an executor. Many walks may
-    stand at one node: that side is the probing one, and its hot partitions can be split at run time
-    as the pointer side has one row per node.
+    stand at one node: from ``LARGE`` walks on these are counted, and those at a hot node are dealt to
+    several tasks (``skew.even_lookup``).
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "hierarchy")
@@ -51,6 +53,7 @@ def hierarchy(links: DataFrame, every: int = SPLITTER_EVERY, with_paths: bool =
     )
     # a walk ends at a root or at a splitter; a root's own walk has ended where it began
     stops = pointers.where(stop).select(F.col("node").alias("at"), F.lit(True).alias("ended"))
+    total = pointers.count()
     ended, unended = _walk_on(scratch, _marked(walk, stops), with_paths)
     # the reduced graph: splitters and roots, each pointing to the next splitter or root above; a
     # splitter with no stop above circles in place
@@ -60,7 +63,7 @@ def hierarchy(links: DataFrame, every: int = SPLITTER_EVERY, with_paths: bool =
     roots = pointers.where(F.col("parent").isNull()).select(F.col("node").alias("at"), F.lit(True).alias("ended"))
     solved, circling = _walk_on(scratch, _marked(reduced, roots), with_paths)
     above = solved.select(F.col("node").alias("at"), F.col("at").alias("root"), F.col("dist").alias("more"), *([F.col("path").alias("above")] if with_paths else []))
-    good = ended.join(above, "at").select(
+    good = _meet(ended, above, total).select(
         "node",
         "root",
         (F.col("dist") + F.col("more")).alias("depth"),
@@ -92,7 +95,7 @@ def _walk_on(scratch: Scratch, walk: DataFrame, with_paths: bool) -> tuple[DataF
         # a step goes on from any node: from one whose walk has ended, too
         steps = _union([*done, left])
         to = steps.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("dist").alias("more"), *([F.col("path").alias("further")] if with_paths else []), "ended")
-        step = left.drop("ended").join(to, "at").select("node", F.col("to").alias("at"), (F.col("dist") + F.col("more")).alias("dist"), *([F.concat("path", "further").alias("path")] if with_paths else []), "ended")
+        step = _meet(left.drop("ended"), to, n).select("node", F.col("to").alias("at"), (F.col("dist") + F.col("more")).alias("dist"), *([F.concat("path", "further").alias("path")] if with_paths else []), "ended")
         before = n
         moved, n = scratch.keep_counting(step, F.count_if(~F.col("ended")))
         done.append(moved.where("ended"))
@@ -102,6 +105,11 @@ def _walk_on(scratch: Scratch, walk: DataFrame, with_paths: bool) -> tuple[DataF
     return _union(done), left
 
 
+def _meet(walks: DataFrame, pointers: DataFrame, n: int) -> DataFrame:
+    """Walks with the pointer of the node they stand at; many may stand at one."""
+    return even_lookup(walks, pointers, "at") if n >= LARGE else walks.join(pointers, "at")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

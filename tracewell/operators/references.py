@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch
+from .skew import even_lookup
+
 
 def parent_intervals(parents: DataFrame, removals: DataFrame) -> DataFrame:
     """``key, born, removed, restored`` in microseconds: one row per key of ``parents(key, seen)``.
@@ -31,13 +34,13 @@ def orphans(refs: DataFrame, intervals: DataFrame) -> DataFrame:
     out; with a null ``at`` only ``missing`` can be told. All other columns pass through, but one that
     is called ``cause`` already, which is replaced.
 
-    The merge hint asks for the sorted merge even where one side would fit a broadcast. The parents
-    have one row per key, so when one key holds much of the references their partition is split at
-    run time (adaptive skew join) and the parent row goes to each part.
+    The merge hint asks for the sorted merge even where one side would fit a broadcast. The
+    references are written once and counted per key, so the rows of a hot key are dealt to several
+    tasks and its parent goes to each.
     """
-    held = refs.where("key is not null").drop("cause")
+    held = Scratch(refs.sparkSession, "references").keep(refs.where("key is not null").drop("cause"))
     parents = intervals.select("key", F.lit(True).alias("_found"), F.col("born").alias("_born"), F.col("removed").alias("_removed"), F.col("restored").alias("_restored"))
-    met = held.join(parents.hint("merge"), "key", "left")
+    met = even_lookup(held, parents, "key", "left", "merge")
     cause = (
         F.when(F.col("_found").isNull(), "missing")
         .when(F.col("_born") > F.col("at"), "late")
