@@ -60,3 +60,17 @@ def test_fused_schema(spark):
     tags = drift.path_tags(files(spark, [("f", 1, 0, '{"a": {"b": 1, "x.y": true}, "m": {"Q1": 1}}'), ("f", 2, 0, '{"a": {"b": "s"}}')]), ["file_id"], opaque=("m",))
     got = {(r["path"], r["tag"]): r["n"] for r in drift.fused_schema(tags).collect()}
     assert got == {("a", "object"): 2, ("a.b", "integer"): 1, ("a.b", "string"): 1, ("a.x\\.y", "boolean"): 1, ("m", "object"): 1}
+
+
+def test_names_are_told_from_the_files(spark):
+    rows, i = [], 0
+    for feed in range(12):
+        before, after = '{"notes": "a", "always": 1, "c": {"n": 1}}', ['{"log": ["a"], "always": 1, "c": {"m": {"n": 2}}}', '{"log": {"summary": "s"}, "always": 1, "cc": 3}'][feed % 2]
+        for h, body in enumerate([before, before, after, after, '{"always": 2, "other": 1}', before]):
+            rows.append((f"f{feed}", i, h * 9, body))
+            i += 1
+    known = [drift.Field("notes", ("notes",)), drift.Field("c.n", ("c.n",))]
+    got = {f.name: f.paths for f in drift.other_names(files(spark, rows), known, "feed", "written_at", "file_id")}
+    assert got == {"notes": ("notes", "log"), "c.n": ("c.n", "c.m.n", "cc")}
+    assert [f.paths for f in drift.other_names(files(spark, rows[:12]), known, "feed", "written_at", "file_id")] == [("notes",), ("c.n",)]
+    assert [f.paths for f in drift.other_names(files(spark, []), known, "feed", "written_at", "file_id")] == [("notes",), ("c.n",)]

@@ -144,6 +144,40 @@ def changes(cells: DataFrame, feed: str, written: str, file_id: str) -> DataFram
     return met.select("feed", "file_id", "field_name", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("change_kind"), F.col("_from").alias("from_path"), F.col("path").alias("to_path"), F.col("_was").alias("from_tag"), F.col("tag").alias("to_tag"))
 
 
+LEAST_RENAMES = 5  # seen before a path counts as another name of a field
+MOST_NAMES = 10_000
+
+
+def other_names(docs: DataFrame, fields: list[Field], feed: str, written: str, file_id: str, opaque: tuple[str, ...] = (), least: int = LEAST_RENAMES) -> list[Field]:
+    """``fields`` with the paths added under which they go on where they vanish.
+
+    A path is another name of a field when it stands in at least ``least`` files in which the field
+    vanished from its feed, and never in a file with the field. Of an object and its members the one
+    seen more often is taken, of both as often the member. It reads all files; what comes to the
+    driver is one row per such path, and their number is checked.
+    """
+    cells = located(docs, fields, [feed, written, file_id]).drop("value")
+    gone = changes(cells, feed, written, file_id).where("change_kind = 'removed'").select("file_id", "field_name")
+    known = [p for f in fields for p in f.paths]
+    paths = path_tags(docs, [file_id], opaque=opaque).select(F.col(file_id).alias("file_id"), "path").where(~F.col("path").isin(known))
+    for p in known:
+        paths = paths.where(~F.col("path").startswith(p + "."))
+    seen = gone.join(paths, "file_id").groupBy("field_name", "path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    there = cells.where("path is not null").select(F.col(file_id).alias("file_id"), "field_name")
+    together = there.join(paths, "file_id").select("field_name", "path").distinct()
+    rows = seen.join(together, ["field_name", "path"], "left_anti").limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} candidate names: are data used as keys?")
+    found: dict[str, dict[str, int]] = {}
+    for r in rows:
+        found.setdefault(r["field_name"], {})[r["path"]] = r["n"]
+
+    def beaten(path: str, n: int, all_: dict[str, int]) -> bool:
+        return any(q.startswith(path + ".") and m >= n or path.startswith(q + ".") and m > n for q, m in all_.items())
+
+    return [Field(f.name, (*f.paths, *sorted(p for p, n in found.get(f.name, {}).items() if not beaten(p, n, found[f.name]))), f.canonical, f.words) for f in fields]
+
+
 def consistent_table(docs: DataFrame, fields: list[Field], keep: list[str]) -> DataFrame:
     """One row per document: ``keep`` and, per field, a struct of one branch per tag and the canonical form.
 

@@ -87,21 +87,37 @@ def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.parsed(read_table(spark, sf_dir, "manifest_files", ["file_id", "feed", "written_at", "body"]))
 
 
+_MAPS = ("source_snapshot", "verification_counts")  # their keys are data
+
+
+def _fields(docs: DataFrame) -> list[drift.Field]:
+    """The fields under the names known and those that the files show."""
+    return drift.other_names(docs, P4_FIELDS, "feed", "written_at", "file_id", _MAPS)
+
+
+def p4_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path under which a field is looked for, in order of preference."""
+    rows = [(f.name, i, p) for f in _fields(_manifests(spark, sf_dir)) for i, p in enumerate(f.paths)]
+    return spark.createDataFrame(rows, "field_name string, place bigint, path string")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = drift.located(_manifests(spark, sf_dir), P4_FIELDS, ["feed", "written_at", "file_id"])
+    docs = _manifests(spark, sf_dir)
+    cells = drift.located(docs, _fields(docs), ["feed", "written_at", "file_id"])
     return drift.changes(cells, "feed", "written_at", "file_id").select("feed", "file_id", "field_name", "change_kind")
 
 
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifests in one table: each field in its canonical form, with the tag and path it was delivered in."""
-    wide = drift.consistent_table(_manifests(spark, sf_dir), P4_FIELDS, ["feed", "file_id"])
+    docs = _manifests(spark, sf_dir)
+    wide = drift.consistent_table(docs, _fields(docs), ["feed", "file_id"])
     names = [f.name.replace(".", "_") for f in P4_FIELDS]
     return wide.select("feed", "file_id", *[x for n in names for x in (F.col(f"{n}.canonical").alias(n), f"{n}_tag", f"{n}_path")])
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused schema: every path with its alternative types and the number of files that show them."""
-    tags = drift.path_tags(_manifests(spark, sf_dir), ["file_id"], opaque=("source_snapshot", "verification_counts"))
+    tags = drift.path_tags(_manifests(spark, sf_dir), ["file_id"], opaque=_MAPS)
     return drift.fused_schema(tags)
 
 
@@ -162,7 +178,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).groupBy("from_version", "to_version", "change_kind", F.array_join("changed_columns", ",").alias("changed_columns")).agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_claims, p1_cases, p3_found, p3_paths, p3_descendants, p4_found, p4_table, p4_report, p5_found, p5_report, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_claims, p1_cases, p3_found, p3_paths, p3_descendants, p4_found, p4_table, p4_report, p4_names, p5_found, p5_report, p6_found, p6_report)}
 
 # SQL for the driver: the same meaning in one statement each
 

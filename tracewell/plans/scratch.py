@@ -55,7 +55,7 @@ class Scratch:
         """As ``keep``, with an aggregate that is taken while the rows are written."""
         seen = Observation()
         kept = self.keep(df.observe(seen, what.alias("n")))
-        return kept, seen.get["n"]
+        return kept, seen.get.get("n") or 0
 
     def drop(self, df: DataFrame) -> None:
         self._remove(df._scratch_path)
@@ -65,5 +65,6 @@ class Scratch:
             jvm = self.spark._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:
-            pass  # the session may be gone at exit
+        except Exception:  # the session may be gone at exit; a local folder can be removed without it
+            if path.removeprefix("file://").startswith("/"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
