@@ -65,9 +65,10 @@ def test_fused_schema(spark):
 def test_names_are_told_from_the_files(spark):
     rows, i = [], 0
     for feed in range(12):
-        before, after = '{"notes": "a", "always": 1, "c": {"n": 1}}', ['{"log": ["a"], "always": 1, "c": {"m": {"n": 2}}}', '{"log": {"summary": "s"}, "always": 1, "cc": 3}'][feed % 2]
-        for h, body in enumerate([before, before, after, after, '{"always": 2, "other": 1}', before]):
-            rows.append((f"f{feed}", i, h * 9, body))
+        n, c = '"notes": "a"', '"c": {"n": 1}'
+        n2, c2 = [('"log": ["a"]', '"c": {"m": {"n": 2}}'), ('"log": {"summary": "s"}', '"cc": 3')][feed % 2]
+        for h, parts in enumerate([(n, c), (n2, c), (n2, c2), (n, c2), (n, c), ()]):
+            rows.append((f"f{feed}", i, h * 9, "{" + ", ".join([*parts, '"always": 1']) + "}"))
             i += 1
     known = [drift.Field("notes", ("notes",)), drift.Field("c.n", ("c.n",))]
     got = {f.name: f.paths for f in drift.other_names(files(spark, rows), known, "feed", "written_at", "file_id")}

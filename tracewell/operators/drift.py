@@ -153,7 +153,8 @@ def other_names(docs: DataFrame, fields: list[Field], feed: str, written: str, f
 
     A path is another name of a field when it stands in at least ``least`` files in which the field
     vanished from its feed, and never in a file with the field. Of an object and its members the one
-    seen more often is taken, of both as often the member. It reads all files; what comes to the
+    seen more often is taken, of both as often the member. A path that
+    fits several fields is the one's that it follows most often, or none's. It reads all files; what comes to the
     driver is one row per such path, and their number is checked.
     """
     cells = located(docs, fields, [feed, written, file_id]).drop("value")
@@ -170,7 +171,8 @@ def other_names(docs: DataFrame, fields: list[Field], feed: str, written: str, f
         raise ValueError(f"more than {MOST_NAMES} candidate names: are data used as keys?")
     found: dict[str, dict[str, int]] = {}
     for r in rows:
-        found.setdefault(r["field_name"], {})[r["path"]] = r["n"]
+        if all(r["n"] > o["n"] for o in rows if o["path"] == r["path"] and o["field_name"] != r["field_name"]):
+            found.setdefault(r["field_name"], {})[r["path"]] = r["n"]
 
     def beaten(path: str, n: int, all_: dict[str, int]) -> bool:
         return any(q.startswith(path + ".") and m >= n or path.startswith(q + ".") and m > n for q, m in all_.items())
