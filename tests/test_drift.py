@@ -75,3 +75,22 @@ def test_names_are_told_from_the_files(spark):
     assert got == {"notes": ("notes", "log"), "c.n": ("c.n", "c.m.n", "cc")}
     assert [f.paths for f in drift.other_names(files(spark, rows[:12]), known, "feed", "written_at", "file_id")] == [("notes",), ("c.n",)]
     assert [f.paths for f in drift.other_names(files(spark, []), known, "feed", "written_at", "file_id")] == [("notes",), ("c.n",)]
+
+
+def test_names_taken_once_for_good_deep_and_one_after_another(spark):
+    rows, i = [], 0
+    for feed in range(3):
+        for h in range(24):
+            n = '"notes": "a"' if h < 8 else '"log": "b"' if h < 16 else '"text": "c"'
+            c = '"c": {"n": 1}' if h < 12 else '"c": {"p": {"q": {"r.s": 2}}}'
+            late = ', "late": 1' if h > 18 else ""
+            rows.append((f"f{feed}", i, h * 9, "{" + f'{n}, {c}, "always": 1{late}' + "}"))
+            i += 1
+    # a feed of its own in which both names stand in one file
+    rows += [("g", i, 0, '{"notes": "a", "log": "b"}'), ("g", i + 1, 1, '{"notes": "a"}')]
+    known = [drift.Field("notes", ("notes",)), drift.Field("c.n", ("c.n",))]
+    names = drift.other_names(files(spark, rows), known, "feed", "written_at", "file_id")
+    assert {f.name: f.paths for f in names} == {"notes": ("notes", "log", "text"), "c.n": ("c.n", "c.p.q.r\\.s")}
+    cells = drift.located(files(spark, rows), names, ["feed", "written_at", "file_id"])
+    got = sorted((r["file_id"], r["field_name"], r["change_kind"]) for r in drift.changes(cells, "feed", "written_at", "file_id").collect() if r["feed"] != "g")
+    assert got == sorted((24 * feed + h, name, "renamed") for feed in range(3) for h, name in ((8, "notes"), (12, "c.n"), (16, "notes")))

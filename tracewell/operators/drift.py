@@ -9,19 +9,22 @@ with those last seen.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch
+
 TAGS = ("string", "integer", "decimal", "list", "object", "boolean")
 CHUNK = "day"  # records of one feed and chunk are walked in one task
 
 
 @dataclass(frozen=True)
 class Field:
-    """A field of the consistent table: its name, and the paths under which it was delivered (dotted)."""
+    """A field of the consistent table: its name, and the paths under which it was delivered (dotted, a dot within a key as ``\\.``)."""
 
     name: str
     paths: tuple[str, ...]
@@ -72,6 +75,15 @@ def path_tags(docs: DataFrame, keys: list[str], depth: int = 3, opaque: tuple[st
     return df.select(*keys, F.inline(every))
 
 
+def full_depth(docs: DataFrame, opaque: tuple[str, ...] = (), depth: int = 3) -> int:
+    """A depth at which ``path_tags`` gives every path, ``depth`` at least; doubled while an object stands at the last level."""
+    while True:
+        last = path_tags(docs, [], depth, opaque).where((F.col("tag") == "object") & (F.size(F.split("path", r"(?<!\\)\.")) == depth) & ~F.col("path").isin(*opaque))
+        if last.isEmpty():
+            return depth
+        depth *= 2
+
+
 def fused_schema(tags: DataFrame, group: list[str] | None = None) -> DataFrame:
     """The tagged union: ``group..., path, tag, n``, counts of records per path and tag.
 
@@ -81,7 +93,8 @@ def fused_schema(tags: DataFrame, group: list[str] | None = None) -> DataFrame:
 
 
 def _at(path: str) -> Column:
-    return F.expr("try_variant_get(_doc, '$" + "".join(f'["{k}"]' for k in path.split(".")) + "', 'variant')")
+    keys = [k.replace("\\.", ".") for k in re.split(r"(?<!\\)\.", path)]
+    return F.try_variant_get(F.col("_doc"), "$" + "".join(f"['{k}']" if '"' in k else f'["{k}"]' for k in keys), "variant")
 
 
 def located(docs: DataFrame, fields: list[Field], keep: list[str]) -> DataFrame:
@@ -144,34 +157,69 @@ def changes(cells: DataFrame, feed: str, written: str, file_id: str) -> DataFram
     return met.select("feed", "file_id", "field_name", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("change_kind"), F.col("_from").alias("from_path"), F.col("path").alias("to_path"), F.col("_was").alias("from_tag"), F.col("tag").alias("to_tag"))
 
 
-LEAST_RENAMES = 5  # seen before a path counts as another name of a field
+LEAST_RENAMES = 5  # files that show a path before it counts as another name of a field
+LEAST_SHARE = 0.1  # of the times that a path comes up in a feed, those in which the field vanishes
 MOST_NAMES = 10_000
 
 
 def other_names(docs: DataFrame, fields: list[Field], feed: str, written: str, file_id: str, opaque: tuple[str, ...] = (), least: int = LEAST_RENAMES) -> list[Field]:
     """``fields`` with the paths added under which they go on where they vanish.
 
-    A path is another name of a field when it stands in at least ``least`` files in which the field
-    vanished from its feed, and never in a file with the field. Of an object and its members the one
-    seen more often is taken, of both as often the member. A path that
-    fits several fields is the one's that it follows most often, or none's. It reads all files; what comes to the
-    driver is one row per such path, and their number is checked.
+    A path is judged within each feed: it stands for a field where no file of the feed holds both and
+    where, of the times that the path comes up from one file to the next, the field vanishes in at
+    least ``LEAST_SHARE``. It is another name when at least ``least`` files of such feeds hold it and
+    more than hold both elsewhere. Of an object and its members the one seen more often is taken, of
+    both as often the member. A path that fits several fields is the one's that it follows most often,
+    or none's. Names found count as known in the next round, until none is added, so a name that
+    follows another is found too. Paths of any depth are looked at. It reads all files; what comes to
+    the driver is one row per such path, and their number is checked.
     """
+    scratch = Scratch(docs.sparkSession, "names")
+    files = docs.select(F.col(file_id).alias("file_id"), F.coalesce(F.col(feed), F.lit("")).alias("_f"), F.col(feed).isNull().alias("_fn"), F.col(written).alias("_w"))
+    tags = path_tags(docs, [file_id], full_depth(docs, opaque), opaque)
+    paths = scratch.keep(tags.select(F.col(file_id).alias("file_id"), "path").distinct().join(_with_before(files), "file_id"))
+    while True:
+        more = _names_once(docs, fields, feed, written, file_id, paths, least)
+        if more == fields:
+            return fields
+        fields = more
+
+
+def _with_before(files: DataFrame) -> DataFrame:
+    """``_f, _fn, file_id, before``: with each file the one before it in its feed; walked in chunks as in ``changes``."""
+    place = F.struct("_w", "file_id")
+    rows = files.withColumn("_chunk", F.coalesce(F.date_trunc(CHUNK, "_w").cast("string"), F.lit("")))
+    walked = rows.withColumn("_inside", F.lag("file_id").over(W.partitionBy("_f", "_fn", "_chunk").orderBy("_w", "file_id")))
+    ends = rows.groupBy("_f", "_fn", "_chunk").agg(F.max_by("file_id", place).alias("_last"))
+    carried = ends.withColumn("_carried", F.lag("_last").over(W.partitionBy("_f", "_fn").orderBy("_chunk"))).drop("_last")
+    return walked.join(carried, ["_f", "_fn", "_chunk"]).select("_f", "_fn", "file_id", F.coalesce("_inside", "_carried").alias("before"))
+
+
+def _names_once(docs: DataFrame, fields: list[Field], feed: str, written: str, file_id: str, paths: DataFrame, least: int) -> list[Field]:
     cells = located(docs, fields, [feed, written, file_id]).drop("value")
     gone = changes(cells, feed, written, file_id).where("change_kind = 'removed'").select("file_id", "field_name")
     known = [p for f in fields for p in f.paths]
-    paths = path_tags(docs, [file_id], opaque=opaque).select(F.col(file_id).alias("file_id"), "path").where(~F.col("path").isin(known))
+    paths = paths.where(~F.col("path").isin(known))
     for p in known:
         paths = paths.where(~F.col("path").startswith(p + "."))
-    seen = gone.join(paths, "file_id").groupBy("field_name", "path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    at = ["_f", "_fn", "path"]
+    follows = gone.join(paths, "file_id").groupBy("field_name", *at).agg(F.count(F.lit(1)).alias("n_after"))
+    likely = follows.select("path").distinct()
+    held = paths.join(likely, "path", "left_semi")
+    earlier = held.select(F.col("file_id").alias("before"), "path")
+    starts = held.join(earlier, ["before", "path"], "left_anti").groupBy(*at).agg(F.count(F.lit(1)).alias("n_starts"))
+    files = held.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
     there = cells.where("path is not null").select(F.col(file_id).alias("file_id"), "field_name")
-    together = there.join(paths, "file_id").select("field_name", "path").distinct()
-    rows = seen.join(together, ["field_name", "path"], "left_anti").limit(MOST_NAMES + 1).collect()
+    together = there.join(held, "file_id").groupBy("field_name", *at).agg(F.count(F.lit(1)).alias("n_both"))
+    fits = follows.join(starts, at).join(files, at).join(together, ["field_name", *at], "left_anti").where(F.col("n_after") >= LEAST_SHARE * F.col("n_starts"))
+    good = fits.groupBy("field_name", "path").agg(F.sum("n").alias("n"), F.sum("n_after").alias("n_after"))
+    bad = together.groupBy("field_name", "path").agg(F.sum("n_both").alias("n_both"))
+    rows = good.join(bad, ["field_name", "path"], "left").where((F.col("n") >= least) & (F.col("n") > F.coalesce("n_both", F.lit(0)))).limit(MOST_NAMES + 1).collect()
     if len(rows) > MOST_NAMES:
         raise ValueError(f"more than {MOST_NAMES} candidate names: are data used as keys?")
     found: dict[str, dict[str, int]] = {}
     for r in rows:
-        if all(r["n"] > o["n"] for o in rows if o["path"] == r["path"] and o["field_name"] != r["field_name"]):
+        if all(r["n_after"] > o["n_after"] for o in rows if o["path"] == r["path"] and o["field_name"] != r["field_name"]):
             found.setdefault(r["field_name"], {})[r["path"]] = r["n"]
 
     def beaten(path: str, n: int, all_: dict[str, int]) -> bool:
