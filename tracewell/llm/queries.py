@@ -19,13 +19,18 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.select(F.col("transcript_id").alias("id"), "query", "prose", "refused", F.col("refusal_reason").alias("reason"), F.col("claims.subject").alias("names_a"), F.col("claims.object").alias("names_b"))
 
 
+def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]).where("doc_id is not null").withColumnRenamed("doc_id", "id")
+    return pairs.defects(_pairs(spark, sf_dir), docs)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.defects(_pairs(spark, sf_dir)).withColumnRenamed("id", "transcript_id")
+    return _defects(spark, sf_dir).select(F.col("id").alias("transcript_id"), "defect")
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs per defect."""
-    return p2_found(spark, sf_dir).groupBy("defect").agg(F.count(F.lit(1)).alias("n_pairs"))
+    """Pairs per defect and the evidence it was found by."""
+    return _defects(spark, sf_dir).groupBy("defect", "evidence").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
 
