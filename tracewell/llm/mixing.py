@@ -2,8 +2,8 @@
 
 Weights go down a tree of domains, languages and sources. A leaf that hasn't enough tokens, however
 often it may be repeated, leaves its shortage to its siblings, and only what they can't take goes to
-the siblings of its ancestors. Each leaf then gives whole epochs and a prefix of one more, each
-epoch in an order of its own seed.
+the siblings of its ancestors. Each leaf then gives whole epochs and a prefix of the tokens of one
+more, each epoch in an order of its own seed.
 """
 
 from __future__ import annotations
@@ -15,11 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.scratch import Scratch
-
 MOST_LEAVES = 100_000  # pairs of language and source whose totals the driver holds
 SEED = 17
-ROUGH = 0.001  # of the whole, what may be missing before the last documents are chosen
 
 
 @dataclass
@@ -71,94 +68,89 @@ def allot(leaves: list[Leaf], total: float) -> float:
     return sum(owed.values())
 
 
-def feasible_total(leaves: list[Leaf]) -> float:
-    """The largest total at which only leaves without any tokens are short."""
+def holding_total(leaves: list[Leaf]) -> float:
+    """The largest total at which only leaves without any tokens are short, so that all others hold their share."""
     some = [Leaf(x.path, x.weight, 0 if x.most == 0 else 1 << 60, 1) for x in leaves]
     allot(some, 1.0)
     return min((x.most / s.budget for x, s in zip(leaves, some, strict=True) if s.budget > 0), default=0.0)
 
 
+def corpus_total(leaves: list[Leaf]) -> float:
+    """The tokens that the sources hold, each document once: as much as is read without mixing."""
+    return float(sum(x.tokens for x in leaves))
+
+
+def targets_once(targets: DataFrame) -> DataFrame:
+    """``source, target_weight, max_repeats``, one row per source: weights of repeated rows are added, the greater cap holds.
+
+    Null and negative weights count as 0, a null cap as 1. Rows without a source are left out.
+    """
+    weight = F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0))
+    return targets.where("source is not null").groupBy("source").agg(F.sum(weight).alias("target_weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
+
+
 def leaf_table(docs: DataFrame, targets: DataFrame, domains: dict[str, str]) -> list[Leaf]:
     """The tree's leaves: one per language and source that occurs, and one per target source without documents.
 
     A source's weight is divided among its languages by their tokens. Sources that aren't targets
     have no leaf. There is one row per pair; their number is checked before they come to the driver.
     """
-    totals = docs.where("n_tokens > 0").groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    rows = totals.join(F.broadcast(targets.select("source")), "source", "left_semi").limit(MOST_LEAVES + 1).collect()
-    if len(rows) > MOST_LEAVES:
-        raise ValueError(f"more than {MOST_LEAVES} pairs of source and language")
-    wanted = {r["source"]: (r["target_weight"] or 0.0, r["max_repeats"] if r["max_repeats"] is not None else 1) for r in targets.collect()}
-    held: dict[str, int] = {}
+    wanted = {r["source"]: (r["target_weight"], r["max_repeats"]) for r in _few(targets_once(targets), "target sources")}
+    held = docs.where("n_tokens > 0").groupBy("source", F.coalesce("lang", F.lit("")).alias("lang")).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    rows = _few(held.join(targets.select("source"), "source", "left_semi"), "pairs of source and language")
+    of_source: dict[str, int] = {}
+    for r in rows:
+        of_source[r["source"]] = of_source.get(r["source"], 0) + r["tokens"]
+    out = []
     for r in rows:
-        held[r["source"]] = held.get(r["source"], 0) + r["tokens"]
-    out = [Leaf((domains.get(r["source"], "other"), r["lang"], r["source"]), wanted[r["source"]][0] * r["tokens"] / held[r["source"]], r["tokens"], wanted[r["source"]][1], r["docs"]) for r in rows]
-    out += [Leaf((domains.get(s, "other"), "", s), w, 0, k) for s, (w, k) in wanted.items() if s not in held]
+        weight, repeats = wanted[r["source"]]
+        path = (domains.get(r["source"], "other"), r["lang"], r["source"])
+        out.append(Leaf(path, weight * r["tokens"] / of_source[r["source"]], r["tokens"], repeats, r["docs"]))
+    out += [Leaf((domains.get(s, "other"), "", s), w, 0, k) for s, (w, k) in wanted.items() if s not in of_source]
     return sorted(out, key=lambda x: x.path)
 
 
+def _few(rows: DataFrame, what: str) -> list:
+    got = rows.limit(MOST_LEAVES + 1).collect()
+    if len(got) > MOST_LEAVES:
+        raise ValueError(f"more than {MOST_LEAVES} {what}")
+    return got
+
+
 def _key(epoch: Column, doc_id: str) -> Column:
     """A place in the epoch's seeded order, evenly spread over the BIGINTs."""
     return F.xxhash64(F.lit(SEED), epoch.cast("bigint"), F.col(doc_id))
 
 
 def mixture(docs: DataFrame, doc_id: str, leaves: list[Leaf]) -> DataFrame:
-    """``doc_id, source, lang, n_tokens, copies``: how often each document of ``docs`` is used.
-
-    A leaf's budget of b tokens out of t gives floor(b / t) epochs to every document and one more to
-    those that come first in the next epoch's order until the rest is reached. A document too long
-    for what is left is passed over: those behind it that fit go on filling the rest. What no
-    document of a leaf fits goes to another language of its source. Of the
-    last of them the one that crosses the line is taken when that comes nearer to the budget.
-    Documents without tokens, and of sources that aren't targets, aren't used.
+    """``doc_id, source, lang, n_tokens, copies, used_tokens``: how often each document of ``docs`` is used.
+
+    A leaf's budget of b tokens out of t gives floor(b / t) whole epochs, and of the next epoch, in
+    its seeded order, the first b mod t tokens. The document in which this prefix ends gives its
+    first tokens only, so a leaf gives its budget to the token, however long its documents are:
+    ``copies`` counts that use as well, ``used_tokens`` is what all uses give. No document is used
+    more often than its source may be. Documents without tokens, and of sources that aren't targets,
+    aren't used; a null language is the language ''.
     """
-    spark = docs.sparkSession
-    docs = docs.select(doc_id, "source", "lang", "n_tokens")
     rows = []
     for x in leaves:
-        if x.tokens and x.budget > 0:
-            full = min(x.repeats, int((x.budget + 1e-6) // x.tokens))
-            rest = 0.0 if full == x.repeats else max(0.0, x.budget - full * x.tokens)
+        budget = min(round(x.budget), x.most)
+        if x.tokens and budget > 0:
+            full, rest = divmod(budget, x.tokens)
             rows.append((x.path[2], x.path[1], full, rest, max(1, round(x.docs**0.5))))
-    plan = F.broadcast(spark.createDataFrame(rows, "source string, lang string, full bigint, rest double, slices bigint"))  # as many rows as leaves
-    held = docs.where("n_tokens > 0").join(plan, ["source", "lang"]).withColumn("at", _key(F.col("full"), doc_id))
-    scratch, taken, total = Scratch(spark, "prefix"), [], sum(x.budget for x in leaves)
-    if not rows:
-        return docs.select(doc_id, "source", "lang", "n_tokens", F.lit(0).cast("bigint").alias("copies")).where("false")
-    left = plan.select("source", "lang", F.col("rest").alias("left"))
-    open_rows = held.select(doc_id, "source", "lang", "n_tokens", "at", "slices")
-    untaken = {(r[0], r[1]): next(x.tokens for x in leaves if (x.path[2], x.path[1]) == (r[0], r[1])) * (r[3] > 0) for r in rows}
-    while True:
-        met = open_rows.join(F.broadcast(left), ["source", "lang"])
-        fitting = _ahead(met.where("n_tokens <= left"), doc_id).withColumn("fits", F.col("ahead") + F.col("n_tokens") <= F.col("left")).drop("ahead")
-        round_ = scratch.keep(fitting.unionByName(met.where("n_tokens > left").withColumn("fits", F.lit(False))))
-        got = round_.where("fits").groupBy("source", "lang").agg(F.sum("n_tokens").alias("got"))
-        state = {(r["source"], r["lang"]): (r["left"], r["got"] or 0) for r in left.join(got, ["source", "lang"], "left").collect()}  # as many rows as leaves
-        untaken = {k: untaken[k] - g for k, (_, g) in state.items()}
-        now = _passed_on({k: x - g for k, (x, g) in state.items()}, {k for k, (_, g) in state.items() if not g}, untaken)
-        taken.append(round_.where("fits").select(doc_id))
-        owed = sum(now.values())
-        left = spark.createDataFrame([(*k, v) for k, v in now.items()], "source string, lang string, left double")
-        open_rows = round_.where("not fits").drop("left", "fits")
-        if owed <= ROUGH * total or now == {k: x for k, (x, _) in state.items()}:
-            break
-    last = _ahead(open_rows.join(F.broadcast(left), ["source", "lang"]).where("n_tokens <= 2 * left"), doc_id)
-    taken.append(last.where(F.col("ahead") + F.col("n_tokens") / 2 <= F.col("left")).select(doc_id))
-    extra = taken[0]
-    for t in taken[1:]:
-        extra = extra.unionByName(t)
-    both = held.join(extra.withColumn("more", F.lit(1)), doc_id, "left")
-    return both.select(doc_id, "source", "lang", "n_tokens", (F.col("full") + F.coalesce("more", F.lit(0))).cast("bigint").alias("copies")).where("copies > 0")
-
-
-def _passed_on(left: dict[tuple[str, str], float], stuck: set[tuple[str, str]], untaken: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
-    """What leaves that could take nothing have left goes to the leaf of their source with most tokens to give."""
-    out = dict(left)
-    for k in sorted(stuck):
-        best = max((x for x in left if x[0] == k[0]), key=lambda x: (untaken[x], x))
-        if out[k] > 0 and best != k and untaken[best] > out[best] + out[k]:
-            out[best], out[k] = out[best] + out[k], 0.0
-    return out
+    held = docs.select(doc_id, "source", F.coalesce("lang", F.lit("")).alias("lang"), F.col("n_tokens").cast("bigint").alias("n_tokens")).where("n_tokens > 0")
+    plan = F.broadcast(docs.sparkSession.createDataFrame(rows, "source string, lang string, full bigint, rest bigint, slices bigint"))  # as many rows as leaves, checked
+    placed = _ahead(held.join(plan, ["source", "lang"]).withColumn("at", _key(F.col("full"), doc_id)), doc_id)
+    part = F.greatest(F.least(F.col("rest") - F.col("ahead"), F.col("n_tokens")), F.lit(0)).cast("bigint")
+    used = placed.withColumn("_part", part).where("full > 0 or _part > 0")
+    return used.select(
+        doc_id,
+        "source",
+        "lang",
+        "n_tokens",
+        (F.col("full") + F.when(F.col("_part") > 0, 1).otherwise(0)).cast("bigint").alias("copies"),
+        (F.col("full") * F.col("n_tokens") + F.col("_part")).cast("bigint").alias("used_tokens"),
+    )
 
 
 def _ahead(rows: DataFrame, doc_id: str) -> DataFrame:
@@ -177,10 +169,16 @@ def _ahead(rows: DataFrame, doc_id: str) -> DataFrame:
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target source: wanted and reached share, tokens, documents and the mean number of repeats."""
-    got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("copies").alias("most_copies"))
-    both = targets.join(got, "source", "left").na.fill(0, ["tokens", "n_docs", "most_copies"])
+    """One row per target source: wanted and reached share, tokens, documents and the most uses of one document."""
+    got = mixed.groupBy("source").agg(F.sum("used_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("copies").alias("most_copies"))
+    both = targets_once(targets).join(got, "source", "left").na.fill(0, ["tokens", "n_docs", "most_copies"])
     whole = both.agg(F.sum("tokens").alias("all_tokens"), F.sum("target_weight").alias("all_weight"))
-    return both.crossJoin(F.broadcast(whole)).select(
-        "source", F.round(F.col("target_weight") / F.col("all_weight"), 6).alias("target_share"), F.round(F.try_divide(F.col("tokens").cast("double"), F.col("all_tokens")), 6).alias("reached_share"), "tokens", "n_docs", "most_copies", F.col("max_repeats").cast("bigint").alias("max_repeats")
+    return both.crossJoin(F.broadcast(whole)).select(  # one row of sums
+        "source",
+        F.round(F.try_divide("target_weight", "all_weight"), 6).alias("target_share"),
+        F.round(F.try_divide(F.col("tokens").cast("double"), F.col("all_tokens")), 6).alias("reached_share"),
+        "tokens",
+        "n_docs",
+        "most_copies",
+        F.col("max_repeats").cast("bigint").alias("max_repeats"),
     )

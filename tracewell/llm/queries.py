@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,24 +66,46 @@ def _source(col: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(col)), r"[\s-]+", "_")
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, total: Callable[[list[mixing.Leaf]], float]) -> tuple[DataFrame, DataFrame]:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]).where("doc_id is not null")
     plain = docs.select("doc_id", "text", F.coalesce(F.lower(F.trim("lang")), F.lit("und")).alias("lang"), _source(F.col("source")).alias("source"))
     counted = Scratch(spark, "tokens").keep(tokens.with_tokens(plain, "doc_id", "text", "lang", "source"))
     targets = read_table(spark, sf_dir, "mixture_targets").select(_source(F.col("source")).alias("source"), "target_weight", "max_repeats")
     leaves = mixing.leaf_table(counted, targets, P8_DOMAINS)
-    mixing.allot(leaves, mixing.feasible_total(leaves))
+    mixing.allot(leaves, total(leaves))
     return mixing.mixture(counted, "doc_id", leaves), targets
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each document is used."""
-    return _mixed(spark, sf_dir)[0]
+    """How often each document is used in a mixture of as many tokens as the sources hold; what a short source lacks its siblings give."""
+    return _mixed(spark, sf_dir, mixing.corpus_total)[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares wanted and reached."""
-    return mixing.shares(*_mixed(spark, sf_dir))
+    """The shares wanted and reached by ``p8_mixture``."""
+    return mixing.shares(*_mixed(spark, sf_dir, mixing.corpus_total))
+
+
+def p8_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached by the largest mixture in which every source with documents holds its own."""
+    held = mixing.shares(*_mixed(spark, sf_dir, mixing.holding_total))
+    return held.select("source", F.round("target_share", 3).alias("target_share"), F.round("reached_share", 3).alias("reached_share"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"))
+
+
+def p8_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of ``p8_mixture`` per target source: documents that may be used, and how many break a rule."""
+    mixed, targets = _mixed(spark, sf_dir, mixing.corpus_total)
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"]).where("doc_id is not null and text <> ''")
+    known = docs.select("doc_id", _source(F.col("source")).alias("own"))
+    wrong = mixed.join(mixing.targets_once(targets), "source").join(known, "doc_id", "left")
+    broken = wrong.groupBy("source").agg(
+        F.count_if(F.col("copies") > F.col("max_repeats")).alias("n_over_cap"),
+        F.count_if((F.col("used_tokens") > F.col("copies") * F.col("n_tokens")) | (F.col("used_tokens") < 1)).alias("n_wrong_tokens"),
+        F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("n_foreign"),
+    )
+    held = known.groupBy(F.col("own").alias("source")).agg(F.count(F.lit(1)).alias("n_documents"))
+    both = mixing.targets_once(targets).select("source").join(held, "source", "left").join(broken, "source", "left")
+    return both.na.fill(0)
 
 
 # 9. look-alike texts
@@ -100,5 +124,5 @@ def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_classes(_looks(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p7_pack, p7_fill, p8_mixture, p8_shares, p9_found, p9_classes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p7_pack, p7_fill, p8_mixture, p8_shares, p8_held, p8_caps, p9_found, p9_classes)}
 ORACLES: dict[str, str] = {}
