@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def even_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hint: str | None = None) -> DataFrame:
-    """``left`` joined with ``right``, which has one row per ``key``; hot keys of ``left`` are salted.
+    """``left`` joined with ``right`` on ``key``; hot keys of ``left`` are salted.
 
     Bytes tell a hot key badly, as its rows compress well, so rows are counted: first per task, then
     per key. A key is hot when it holds more rows than half an even share of a task; there are at
     most two of them per task, so naming them is bounded. Rows of a hot key are dealt to as many
-    salts as they fill even shares, and its row of ``right`` is copied to each. Rows of ``left`` with a
+    salts as they fill even shares, and its rows of ``right`` are copied to each. Rows of ``left`` with a
     null key meet nothing, as in any join. Read ``left`` from a written table: it is read twice.
     """
     spark = left.sparkSession
@@ -20,13 +20,13 @@ def even_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     per = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
     total = left.count()
     share = max(1, total // tasks)
-    hot = [(r["_k"], -(-2 * r["_n"] // share)) for r in per.where(F.col("_n") > max(share // 2, 1000)).collect()]
+    hot = [(r["_k"], -(-2 * r["_n"] // share)) for r in per.where(F.col("_n") > max(share // 2, 1)).collect()]
     if hint:
         right = right.hint(hint)
     if not hot:
         return left.join(right, key, how)
     kind = left.schema[key].dataType.simpleString()
-    named = F.broadcast(spark.createDataFrame(hot, f"`{key}` {kind}, _salts bigint"))  # at most two rows per task
+    named = F.broadcast(spark.createDataFrame(hot, f"`{key}` {kind}, _salts bigint"))  # at most two rows per task, whatever the size
     dealt = left.join(named, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts")), F.lit(0))).drop("_salts")
     copied = right.join(named, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
     if hint:
