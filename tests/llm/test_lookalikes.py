@@ -65,3 +65,20 @@ def test_many_copies_make_no_pairs(spark):
 def test_empty(spark):
     known = la.classes(spark.createDataFrame([], "id bigint, text string"), "id", "text")
     assert la.look_alike_pairs(known).count() == 0 and la.look_classes(known).count() == 0
+
+
+def test_letters_of_many_scripts_and_fonts():
+    n = lookalikes.Normaliser(lookalikes.mapping())
+    shown = {"ρν": "pv", "α": "a", "ѵ": "v", "ı": "i", "𝐫𝟗": "r9", "ⅼⅣ": "lIV", "ᴏ": "o", "ꓚ": "C", "Ꭰ": "D", "П": "Π", "фΦФ": "φΦΦ", "µ": "μ"}
+    assert dict(zip(shown, n(list(shown)), strict=True)) == shown
+    for a, b in [("²", "2"), ("é", "e"), ("ʀ", "r"), ("ⓐ", "a"), ("Л", "Λ"), ("O", "0")]:
+        assert n([a]) != n([b])
+
+
+def test_copies_of_hot_variants(spark):
+    rows = [(i, "Tarn 1") for i in range(400)] + [(1000 + i, "Tаrn\u00a01") for i in range(3)] + [(2000 + i, f"lone {i}") for i in range(20)]
+    known = lookalikes.Scratch(spark, "looks").keep(lookalikes.classes(spark.createDataFrame(rows, "d bigint, t string"), "d", "t"))
+    got = {tuple(r) for r in lookalikes.look_alike_pairs(known).collect()}
+    assert got == {(i, 1000 + j) for i in range(400) for j in range(3)}
+    by = {r["doc_id"]: r["n_alike"] for r in lookalikes.look_classes(known).collect()}
+    assert by[0] == 3 and by[1000] == 400 and by[2000] == 0 and len(by) == 423

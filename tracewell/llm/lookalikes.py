@@ -18,13 +18,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other scripts that are drawn like a Latin one, and that one.
+from ..operators.skew import even_lookup
+from ..plans.scratch import Scratch
+
+# Letters drawn like another one, and that one. Most are drawn like a Latin letter; those
+# behind the last Latin row are Cyrillic letters drawn like Greek ones.
 LOOK_ALIKE = {
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ο": "o", "ϲ": "c", "ϳ": "j",
-    "ɡ": "g", "ǃ": "!", "‐": "-", "‑": "-",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ѵ": "V",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ѵ": "v",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+    "α": "a", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "χ": "x", "ϲ": "c", "ϳ": "j",
+    "ɡ": "g", "ı": "i", "ǃ": "!", "‐": "-", "‑": "-", "Օ": "O", "օ": "o", "Ս": "U", "հ": "h",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "П": "Π", "Г": "Γ", "Ф": "Φ", "Ѳ": "Θ", "Ѱ": "Ψ", "ф": "φ", "к": "κ", "ѳ": "θ", "ѱ": "ψ",
 }
+# Fixed value: Latin letters whose small form is drawn as the capital one, so small capitals look like small letters.
+SAME_IN_BOTH = "COSUVWXZ"
 # Format characters that are drawn, though of the category of invisible ones.
 DRAWN_FORMATS = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 # Invisible characters outside of that category.
@@ -44,7 +54,11 @@ def _shown(cp: int) -> str:
     if kind in ("Zl", "Zp"):
         return "\n"
     tag = unicodedata.decomposition(ch).split(" ")[0]
-    if tag in ("<wide>", "<narrow>", "<noBreak>") or cp in LIGATURES:
+    name = unicodedata.name(ch, "")
+    if name.startswith("LATIN LETTER SMALL CAPITAL ") and name[-2] == " " and name[-1] in SAME_IN_BOTH:
+        return name[-1].lower()
+    # letters and digits in another font, Roman numerals, the micro sign: drawn as what they stand for
+    if tag in ("<wide>", "<narrow>", "<noBreak>", "<font>") or cp in LIGATURES or "ROMAN NUMERAL" in name or cp == 0xB5:
         inner = unicodedata.normalize("NFKD", ch)
     else:
         inner = unicodedata.normalize("NFD", ch)
@@ -198,21 +212,50 @@ def look_alike_pairs(known: DataFrame) -> DataFrame:
     """``doc_id_a, doc_id_b`` (smaller first) of each two documents of one look and different variants.
 
     Copies are folded to their variant first, and a document is led from its variant to the other
-    variants of its look and on to their documents. So copies of one text never meet each other,
-    however many there are, and no pair is made that isn't a result.
+    variants of its look and on to their documents. So copies of one text never meet each other. The
+    rows of a variant with many copies are dealt to several tasks at both steps. There are as many
+    rows as documents that look alike in pairs, n * m for n and m copies of two variants:
+    ``look_classes`` says the same in one row per document. Read ``known`` from a written table.
     """
     variants = known.groupBy("look", "variant").agg(F.count(F.lit(1)).alias("n"))
     several = variants.groupBy("look").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("look")
-    alive = variants.join(several, "look", "left_semi").select("look", "variant")
+    scratch = Scratch(known.sparkSession, "variants")
+    alive = scratch.keep(variants.join(several, "look", "left_semi").select("look", "variant"))
     other = alive.join(alive.withColumnRenamed("variant", "other"), "look").where("variant <> other").select("variant", "other")
-    a = known.select(F.col("doc").alias("doc_id_a"), "variant").join(other, "variant").select("doc_id_a", "other")
+    led = even_lookup(known.select(F.col("doc").alias("doc_id_a"), "variant"), other, "variant").select("doc_id_a", "other")
     b = known.select(F.col("doc").alias("doc_id_b"), F.col("variant").alias("other"))
-    return a.join(b, "other").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+    return even_lookup(scratch.keep(led), b, "other").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
 
 
 def look_classes(known: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, class_id`` (the smallest id of its look), ``n_variants`` and ``n_alike``, the documents of another text that look the same."""
+    """One row per document: ``doc_id, class_id`` (the smallest id of its look), ``n_variants`` and ``n_alike``, the documents of another text that look the same.
+
+    Documents of a variant with many copies are dealt to several tasks. Read ``known`` from a written table.
+    """
     variants = known.groupBy("look", "variant").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
     looks = variants.groupBy("look").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("n_variants"), F.sum("n").alias("total"))
     both = variants.join(looks, "look").select("variant", "class_id", "n_variants", (F.col("total") - F.col("n")).alias("n_alike"))
-    return known.select(F.col("doc").alias("doc_id"), "variant").join(both, "variant").select("doc_id", "class_id", "n_variants", "n_alike")
+    return even_lookup(known.select(F.col("doc").alias("doc_id"), "variant"), both, "variant").select("doc_id", "class_id", "n_variants", "n_alike")
+
+
+def one_form_sql(text: str) -> str:
+    """The one form of a text as an expression of DuckDB, made from the same rule."""
+    single, gone, several = {}, [], {}
+    for cp in map(int, mapping()["keys"]):
+        ch, form = chr(cp), unicodedata.normalize("NFC", _shown(cp))
+        if form == unicodedata.normalize("NFC", ch):
+            continue
+        if len(form) == 1:
+            single[ch] = form
+        elif form:
+            several[ch] = form
+        else:
+            gone.append(ch)
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    out = f"translate({text}, {quoted(''.join(single) + ''.join(gone))}, {quoted(''.join(single.values()))})"
+    for ch, form in several.items():
+        out = f"replace({out}, {quoted(ch)}, {quoted(form)})"
+    return f"nfc_normalize({out})"

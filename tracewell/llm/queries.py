@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import nested
 from ..plans.scratch import Scratch
 from ..sources.tables import read_table
-from . import lookalikes, mixing, packing, pairs, tokens
+from . import lookalikes, mixing, oracles, packing, pairs, tokens
 
 # 2. defective pairs
 
@@ -35,6 +35,15 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _defects(spark, sf_dir).groupBy("defect", "evidence").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+def p2_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose fields alone tell the defect (marked as refused, prose of blanks), and how many of these ``p2_found`` gives."""
+    reason = F.coalesce(F.lower(F.regexp_replace("reason", r"(?U)[^\p{L}\p{N}]+", "")), F.lit(""))
+    blank = F.coalesce("prose", F.lit("")).rlike(r"^[\s\p{Z}]*$")
+    marked = F.coalesce("refused", F.lit(False))
+    sure = _pairs(spark, sf_dir).where(marked | blank).select(F.col("id").alias("transcript_id"), F.when(marked | ~reason.isin(pairs.NO_REASONS), "refusal").otherwise("empty").alias("defect"))
+    both = sure.join(p2_found(spark, sf_dir).withColumn("found", F.lit(1)), ["transcript_id", "defect"], "left")
+    return both.groupBy("defect").agg(F.count(F.lit(1)).alias("n_pairs"), F.count("found").alias("n_found"))
+
 
 # 7. packing
 
@@ -55,6 +64,23 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_pack(spark, sf_dir))
 
 
+def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for every document: its pieces are all of it, its containers aren't overfull, it is split only if longer than one."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).where("doc_id is not null")
+    counted = Scratch(spark, "tokens").keep(tokens.with_tokens(docs, "doc_id", "text", vectors=True))
+    pieces = Scratch(spark, "pieces").keep(packing.packed(packing.along_curve(counted), "doc_id"))
+    full = pieces.groupBy("container_id").agg(F.sum("n_tokens").alias("held"))
+    met = pieces.join(full, "container_id").groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("in_pieces"), F.min("from_token").alias("low"), F.max("to_token").alias("high"), F.count(F.lit(1)).alias("n"), F.countDistinct("piece").alias("n_kinds"), F.max("held").alias("held")
+    )
+    return counted.select("doc_id", "n_tokens").join(met, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce((F.col("in_pieces") == F.col("n_tokens")) & (F.col("low") == 0) & (F.col("high") == F.col("n_tokens")) & (F.col("n") == F.col("n_kinds")), F.lit(False)).alias("whole"),
+        (F.col("held") <= packing.CAPACITY).alias("fits"),
+        ((F.col("n") == 1) | (F.col("n_tokens") > packing.CAPACITY)).alias("split_only_if_longer"),
+    )
+
+
 # 8. mixing
 
 # the top level of the tree: what kind of text a source gives
@@ -124,5 +150,5 @@ def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_classes(_looks(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p7_pack, p7_fill, p8_mixture, p8_shares, p8_held, p8_caps, p9_found, p9_classes)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_marks, p7_pack, p7_fill, p7_places, p8_mixture, p8_shares, p8_held, p8_caps, p9_found, p9_classes)}
+ORACLES: dict[str, str] = oracles.oracles(P8_DOMAINS)

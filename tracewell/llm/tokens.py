@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +32,20 @@ def encoder(path: str):
     return kept[path]
 
 
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
 def pieces_of(text: str) -> Iterator[str]:
-    """A text cut before blanks into pieces of about ``PIECE`` characters; short texts are one piece.
+    """A text cut into pieces of about ``PIECE`` characters, which bounds what is encoded at a time.
 
-    It bounds what a very long text holds in memory at a time. Only the cut's own place can change
-    a token, and it is the same in every run.
+    Cuts are made before a single blank between two other characters. The splitting pattern begins a
+    new part there in any case, so the tokens are those of the whole text. Where no such blank
+    follows, the rest is one piece.
     """
     at = 0
-    while len(text) - at > PIECE:
-        cut = text.rfind(" ", at + PIECE // 2, at + PIECE)
-        cut = at + PIECE if cut <= at else cut
-        yield text[at:cut]
-        at = cut
+    while len(text) - at > PIECE and (cut := _CUT.search(text, at + PIECE)):
+        yield text[at : cut.start()]
+        at = cut.start()
     yield text[at:]
 
 
