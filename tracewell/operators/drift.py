@@ -1,7 +1,8 @@
 """Schemas that drift between files: tagged-union inference over JSON records.
 
-Every record is parsed on its own into paths with a type tag each. Schemas are fused per path by
-keeping every tag that occurs (a tagged union), so no record forces its types on another. Where a
+Every record is parsed once, on its own, into paths with a type tag each. Schemas are fused per
+path, and per feed and path, by keeping every tag that occurs (a tagged union), so no record forces
+its types on another; under which paths a field goes is told from the fused schemas. Where a
 path has several tags its values go to one branch per tag and, beside them, to one canonical form.
 Changes are found by walking each feed's records in order and comparing tag and path of a field
 with those last seen.
@@ -9,9 +10,12 @@ with those last seen.
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,37 +55,74 @@ def tag_of(value: Column) -> Column:
     )
 
 
-def path_tags(docs: DataFrame, keys: list[str], depth: int = 3, opaque: tuple[str, ...] = ()) -> DataFrame:
-    """``keys..., path, tag``: each path of each document down to ``depth`` object levels.
+PATHS = "array<struct<path:string,tag:string>>"
 
-    Objects at the paths ``opaque`` are maps whose keys are data; they are tagged and not entered.
-    Dots within a key are written ``\\.``. Documents that are no objects give no row.
-    """
-    pair = "array<struct<path:string,value:variant>>"
-
-    def entries(prefix: Column | None, value: Column) -> Column:
-        def named(e):
-            key = F.replace(e["key"], F.lit("."), F.lit("\\."))
-            return F.struct((key if prefix is None else F.concat(prefix, F.lit("."), key)).alias("path"), e["value"].alias("value"))
 
-        return F.transform(F.map_entries(F.coalesce(value.try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))), named)
+def read_paths(files: DataFrame, keep: list[str], body: str = "body", opaque: tuple[str, ...] = ()) -> DataFrame:
+    """``keep..., paths``: every path of each record with its type tag, each pair once; null for text that isn't JSON.
 
-    level = entries(None, F.col("_doc"))
-    df = docs.where(tag_of(F.col("_doc")) == "object").select(*keys, level.alias("_level_0"))
-    for i in range(1, depth):
-        inner = F.filter(F.col(f"_level_{i - 1}"), lambda e: (tag_of(e["value"]) == "object") & ~e["path"].isin(*opaque) if opaque else tag_of(e["value"]) == "object")
-        df = df.withColumn(f"_level_{i}", F.flatten(F.transform(inner, lambda e: entries(e["path"], e["value"]))).cast(pair))
-    every = F.concat(*[F.transform(F.col(f"_level_{i}"), lambda e: F.struct(e["path"].alias("path"), tag_of(e["value"]).alias("tag"))) for i in range(depth)])
-    return df.select(*keys, F.inline(every))
+    Paths are dotted, a dot within a key is written ``\\.``, the entries of a list are at ``[]``; they
+    are followed to any depth. Objects at the paths ``opaque`` are maps whose keys are data; they are
+    tagged and not entered. The tag is one of ``TAGS`` or 'null'. A record that is no object has no
+    paths; one with two equal keys in an object isn't JSON. A record is parsed once, and all else is
+    told from what this gives.
+    """
+    schema = ", ".join([*(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep), f"paths {PATHS}"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = json.JSONDecoder(object_pairs_hook=_once, parse_constant=_refuse)
+        kind = pa.list_(pa.struct([("path", pa.string()), ("tag", pa.string())]))
+        for batch in batches:
+            found = []
+            for text in batch.column(len(keep)).to_pylist():
+                try:
+                    doc = None if text is None else decoder.decode(text)
+                except (ValueError, RecursionError):
+                    doc = None
+                if doc is None and (text is None or text.strip() != "null"):
+                    found.append(None)
+                    continue
+                seen: dict[tuple[str, str], None] = {}
+                if isinstance(doc, dict):
+                    _enter(doc, "", frozenset(opaque), seen)
+                found.append([{"path": p, "tag": t} for p, t in seen])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, kind)], names=[*keep, "paths"])
+
+    return files.select(*keep, F.col(body).alias("_body")).mapInArrow(read, schema)
+
+
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("two equal keys")
+    return out
+
+
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+_TAG_OF = {str: "string", int: "integer", float: "decimal", list: "list", dict: "object", bool: "boolean", type(None): "null"}
+
+
+def _enter(value: dict | list, path: str, opaque: frozenset[str], seen: dict[tuple[str, str], None]) -> None:
+    """Adds what lies below a record's object or list; a stack of its own, so depth is no limit."""
+    stack = [(value, path)]
+    while stack:
+        value, path = stack.pop()
+        if isinstance(value, dict):
+            inner = [((f"{path}." if path else "") + (k.replace(".", "\\.") if "." in k else k), v) for k, v in value.items()]
+        else:
+            inner = [(f"{path}[]", v) for v in value]
+        for p, v in inner:
+            seen[p, _TAG_OF[type(v)]] = None
+            if v and isinstance(v, (dict, list)) and p not in opaque:
+                stack.append((v, p))
 
 
-def full_depth(docs: DataFrame, opaque: tuple[str, ...] = (), depth: int = 3) -> int:
-    """A depth at which ``path_tags`` gives every path, ``depth`` at least; doubled while an object stands at the last level."""
-    while True:
-        last = path_tags(docs, [], depth, opaque).where((F.col("tag") == "object") & (F.size(F.split("path", r"(?<!\\)\.")) == depth) & ~F.col("path").isin(*opaque))
-        if last.isEmpty():
-            return depth
-        depth *= 2
+def path_tags(read: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys..., path, tag``: one row for each path of each record of ``read_paths``."""
+    return read.select(*keys, F.inline("paths"))
 
 
 def fused_schema(tags: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -97,20 +138,21 @@ def _at(path: str) -> Column:
     return F.try_variant_get(F.col("_doc"), "$" + "".join(f"['{k}']" if '"' in k else f'["{k}"]' for k in keys), "variant")
 
 
-def located(docs: DataFrame, fields: list[Field], keep: list[str]) -> DataFrame:
-    """One row per document and field: ``keep..., field_name, path, tag, value``.
+def located(read: DataFrame, fields: list[Field], keep: list[str]) -> DataFrame:
+    """One row per record of ``read_paths`` and field: ``keep..., field_name, path, tag``.
 
-    ``path`` is the first of the field's paths that the document has, null where it has none.
-    ``tag`` is null for an absent and for a null value.
+    ``path`` is the first of the field's paths that the record has, null where it has none. ``tag`` is
+    null for an absent and for a null value.
     """
-    cells = []
-    for f in fields:
-        found = [F.struct(F.lit(p).alias("path"), _at(p).alias("value")) for p in f.paths]
-        first = F.filter(F.array(*found), lambda x: x["value"].isNotNull())
-        cells.append(F.struct(F.lit(f.name).alias("field_name"), F.get(first, F.lit(0)).alias("cell")))
-    long = docs.select(*keep, F.inline(F.array(*cells)))
-    tag = tag_of(F.col("cell.value"))
-    return long.select(*keep, "field_name", F.col("cell.path").alias("path"), F.when(tag != "null", tag).alias("tag"), F.col("cell.value").alias("value"))
+    def cell(f: Field) -> Column:
+        place = F.create_map(*[x for i, p in enumerate(f.paths) for x in (F.lit(p), F.lit(i))])
+        known = F.filter("paths", lambda x: x["path"].isin(*f.paths))
+        placed = F.transform(known, lambda x: F.struct(F.try_element_at(place, x["path"]).alias("place"), x["path"].alias("path"), x["tag"].alias("tag")))
+        return F.struct(F.lit(f.name).alias("field_name"), F.array_min(placed).alias("cell"))
+
+    cells = [cell(f) for f in fields]
+    long = read.select(*keep, F.inline(F.array(*cells)))
+    return long.select(*keep, "field_name", F.col("cell.path").alias("path"), F.nullif(F.col("cell.tag"), F.lit("null")).alias("tag"))
 
 
 def changes(cells: DataFrame, feed: str, written: str, file_id: str) -> DataFrame:
@@ -158,74 +200,80 @@ def changes(cells: DataFrame, feed: str, written: str, file_id: str) -> DataFram
 
 
 LEAST_RENAMES = 5  # files that show a path before it counts as another name of a field
+LEAST_ALIKE = 1  # the same, of a path that shares a word with the field's name
 LEAST_SHARE = 0.1  # of the times that a path comes up in a feed, those in which the field vanishes
-MOST_NAMES = 10_000
 
 
-def other_names(docs: DataFrame, fields: list[Field], feed: str, written: str, file_id: str, opaque: tuple[str, ...] = (), least: int = LEAST_RENAMES) -> list[Field]:
-    """``fields`` with the paths added under which they go on where they vanish.
+def words_in(path: str) -> set[str]:
+    """The words of a path's last key: ``coarserThanYear`` and ``coarser_than_year`` have the same."""
+    last = re.split(r"(?<!\\)\.", path)[-1]
+    return {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", last)}
+
+
+def other_names(read: DataFrame, fields: list[Field], feed: str, written: str, file_id: str, least: int = LEAST_RENAMES) -> list[Field]:
+    """``fields`` with the paths added under which they go on where they vanish, told from ``read_paths``.
 
-    A path is judged within each feed: it stands for a field where no file of the feed holds both and
-    where, of the times that the path comes up from one file to the next, the field vanishes in at
-    least ``LEAST_SHARE``. It is another name when at least ``least`` files of such feeds hold it and
-    more than hold both elsewhere. Of an object and its members the one seen more often is taken, of
-    both as often the member. A path that fits several fields is the one's that it follows most often,
-    or none's. Names found count as known in the next round, until none is added, so a name that
-    follows another is found too. Paths of any depth are looked at. It reads all files; what comes to
-    the driver is one row per such path, and their number is checked.
+    Schemas are fused per feed: for each path, the files that hold it, the times that it comes up from
+    one file to the next, and, for each field, the times that it comes up where the field vanishes
+    and the files that hold both. A path stands for a field in a feed where no file holds both and
+    where the field vanishes in at least ``LEAST_SHARE`` of the times that the path comes up. It is
+    another name when at least ``least`` files of such feeds hold it (``LEAST_ALIKE`` where it shares a
+    word with the field's name) and more than hold both elsewhere. Of an object and its members the one seen more often is taken, of both as often the
+    member. A path that fits several fields is the one's that it follows most often, or none's. Names
+    found count as known in the next round, until none is added, so a name that follows another is
+    found too. Paths within lists are no names. What comes to the driver is one row per candidate.
     """
-    scratch = Scratch(docs.sparkSession, "names")
-    files = docs.select(F.col(file_id).alias("file_id"), F.coalesce(F.col(feed), F.lit("")).alias("_f"), F.col(feed).isNull().alias("_fn"), F.col(written).alias("_w"))
-    tags = path_tags(docs, [file_id], full_depth(docs, opaque), opaque)
-    paths = scratch.keep(tags.select(F.col(file_id).alias("file_id"), "path").distinct().join(_with_before(files), "file_id"))
-    while True:
-        more = _names_once(docs, fields, feed, written, file_id, paths, least)
-        if more == fields:
-            return fields
+    scratch = Scratch(read.sparkSession, "names")
+    files = read.select(F.col(file_id).alias("file_id"), F.coalesce(F.col(feed), F.lit("")).alias("_f"), F.col(feed).isNull().alias("_fn"), F.col(written).alias("_w"), F.col("paths.path").alias("paths"))
+    both = _with_before(files)
+    pairs = scratch.keep(both.select("_f", "_fn", F.array_distinct(F.coalesce("paths", F.array().cast("array<string>"))).alias("now"), "was"))
+    while (more := _names_once(pairs, fields, least)) != fields:
         fields = more
+    return fields
 
 
 def _with_before(files: DataFrame) -> DataFrame:
-    """``_f, _fn, file_id, before``: with each file the one before it in its feed; walked in chunks as in ``changes``."""
+    """Adds ``was`` to ``files(_f, _fn, _w, file_id, paths)``: the paths of the file before it in its feed, null for the first; walked in chunks as in ``changes``."""
     place = F.struct("_w", "file_id")
+    held = F.coalesce("paths", F.array().cast("array<string>"))
     rows = files.withColumn("_chunk", F.coalesce(F.date_trunc(CHUNK, "_w").cast("string"), F.lit("")))
-    walked = rows.withColumn("_inside", F.lag("file_id").over(W.partitionBy("_f", "_fn", "_chunk").orderBy("_w", "file_id")))
-    ends = rows.groupBy("_f", "_fn", "_chunk").agg(F.max_by("file_id", place).alias("_last"))
+    walked = rows.withColumn("_inside", F.lag(held).over(W.partitionBy("_f", "_fn", "_chunk").orderBy("_w", "file_id")))
+    ends = rows.groupBy("_f", "_fn", "_chunk").agg(F.max_by(held, place).alias("_last"))
     carried = ends.withColumn("_carried", F.lag("_last").over(W.partitionBy("_f", "_fn").orderBy("_chunk"))).drop("_last")
-    return walked.join(carried, ["_f", "_fn", "_chunk"]).select("_f", "_fn", "file_id", F.coalesce("_inside", "_carried").alias("before"))
+    return walked.join(carried, ["_f", "_fn", "_chunk"]).withColumn("was", F.coalesce("_inside", "_carried"))
 
 
-def _names_once(docs: DataFrame, fields: list[Field], feed: str, written: str, file_id: str, paths: DataFrame, least: int) -> list[Field]:
-    cells = located(docs, fields, [feed, written, file_id]).drop("value")
-    gone = changes(cells, feed, written, file_id).where("change_kind = 'removed'").select("file_id", "field_name")
+def _names_once(pairs: DataFrame, fields: list[Field], least: int) -> list[Field]:
     known = [p for f in fields for p in f.paths]
-    paths = paths.where(~F.col("path").isin(known))
-    for p in known:
-        paths = paths.where(~F.col("path").startswith(p + "."))
-    at = ["_f", "_fn", "path"]
-    follows = gone.join(paths, "file_id").groupBy("field_name", *at).agg(F.count(F.lit(1)).alias("n_after"))
-    likely = follows.select("path").distinct()
-    held = paths.join(likely, "path", "left_semi")
-    earlier = held.select(F.col("file_id").alias("before"), "path")
-    starts = held.join(earlier, ["before", "path"], "left_anti").groupBy(*at).agg(F.count(F.lit(1)).alias("n_starts"))
-    files = held.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
-    there = cells.where("path is not null").select(F.col(file_id).alias("file_id"), "field_name")
-    together = there.join(held, "file_id").groupBy("field_name", *at).agg(F.count(F.lit(1)).alias("n_both"))
-    fits = follows.join(starts, at).join(files, at).join(together, ["field_name", *at], "left_anti").where(F.col("n_after") >= LEAST_SHARE * F.col("n_starts"))
-    good = fits.groupBy("field_name", "path").agg(F.sum("n").alias("n"), F.sum("n_after").alias("n_after"))
-    bad = together.groupBy("field_name", "path").agg(F.sum("n_both").alias("n_both"))
-    rows = good.join(bad, ["field_name", "path"], "left").where((F.col("n") >= least) & (F.col("n") > F.coalesce("n_both", F.lit(0)))).limit(MOST_NAMES + 1).collect()
-    if len(rows) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} candidate names: are data used as keys?")
+
+    def has(paths: str, f: Field) -> Column:
+        return F.arrays_overlap(F.col(paths), F.array(*[F.lit(p) for p in f.paths]))
+
+    free = F.filter("now", lambda p: ~p.isin(*known) & ~p.contains("[]") & ~F.greatest(*[p.startswith(k + ".") for k in known], F.lit(False)))
+    came = pairs.select("_f", "_fn", F.explode(free).alias("path"), F.coalesce(F.col("was"), F.array().cast("array<string>")).alias("was"), F.col("was").isNotNull().alias("_follows"), *[x for i, f in enumerate(fields) for x in (has("now", f).alias(f"_now{i}"), (F.coalesce(has("was", f), F.lit(False)) & ~has("now", f)).alias(f"_gone{i}"))])
+    starts = F.col("_follows") & ~F.array_contains("was", F.col("path"))
+    sums = [F.count(F.lit(1)).alias("n"), F.count_if(starts).alias("n_starts")]
+    for i in range(len(fields)):
+        sums += [F.count_if(f"_now{i}").alias(f"both{i}"), F.count_if(F.col(f"_gone{i}")).alias(f"after{i}")]
+    fused = came.groupBy("_f", "_fn", "path").agg(*sums)  # one row per path and feed, whatever the number of files
+    per = []
+    for i, f in enumerate(fields):
+        fits = (F.col(f"both{i}") == 0) & (F.col(f"after{i}") > 0) & (F.col(f"after{i}") >= LEAST_SHARE * F.col("n_starts"))
+        per.append(F.struct(F.lit(f.name).alias("field_name"), F.when(fits, F.col("n")).otherwise(0).alias("n"), F.when(fits, F.col(f"after{i}")).otherwise(0).alias("n_after"), F.col(f"both{i}").alias("n_both")))
+    long = fused.select("path", F.inline(F.array(*per))).groupBy("field_name", "path").agg(F.sum("n").alias("n"), F.sum("n_after").alias("n_after"), F.sum("n_both").alias("n_both"))
+    words = {f.name: words_in(f.paths[0]) for f in fields}
+    rows = [r for r in long.where((F.col("n") > 0) & (F.col("n") > F.col("n_both"))).collect() if r["n"] >= (LEAST_ALIKE if words_in(r["path"]) & words[r["field_name"]] else least)]
     found: dict[str, dict[str, int]] = {}
     for r in rows:
         if all(r["n_after"] > o["n_after"] for o in rows if o["path"] == r["path"] and o["field_name"] != r["field_name"]):
             found.setdefault(r["field_name"], {})[r["path"]] = r["n"]
 
+    every = {p: n for names in found.values() for p, n in names.items()}
+
     def beaten(path: str, n: int, all_: dict[str, int]) -> bool:
         return any(q.startswith(path + ".") and m >= n or path.startswith(q + ".") and m > n for q, m in all_.items())
 
-    return [Field(f.name, (*f.paths, *sorted(p for p, n in found.get(f.name, {}).items() if not beaten(p, n, found[f.name]))), f.canonical, f.words) for f in fields]
+    return [Field(f.name, (*f.paths, *sorted(p for p, n in found.get(f.name, {}).items() if not beaten(p, n, every))), f.canonical, f.words) for f in fields]
 
 
 def consistent_table(docs: DataFrame, fields: list[Field], keep: list[str]) -> DataFrame:

