@@ -1,3 +1,4 @@
+from tracewell.llm import lookalikes
 import random
 import unicodedata
 
