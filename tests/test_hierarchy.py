@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tracewell.operators.hierarchy import descendants, hierarchy
+from tracewell.operators.hierarchy import descendants, further_parents, hierarchy
 
 
 def brute(pairs):
@@ -58,3 +58,8 @@ def test_empty(spark):
 def test_descendants_and_extra_columns(spark):
     df = spark.createDataFrame([("a", "b", 1, 2), ("b", "c", 1, 2)], "child string, parent string, node int, path int")
     assert sorted(tuple(r) for r in descendants(hierarchy(df)).collect()) == [("b", "a", 1), ("c", "a", 2), ("c", "b", 1)]
+
+
+def test_further_parents(spark):
+    df = spark.createDataFrame([("a", "c"), ("a", "b"), ("a", "b"), ("a", "d"), ("b", "d"), (None, "x"), ("e", " ")], "child string, parent string")
+    assert sorted(tuple(r) for r in further_parents(df).collect()) == [("a", "c"), ("a", "d")]

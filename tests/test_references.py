@@ -45,3 +45,12 @@ def test_it_is_a_sorted_merge(spark):
     i = intervals(spark, [("a", 1)], [])
     plan = references.orphans(spark.createDataFrame([("a", 1)], "key string, at bigint"), i)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
+
+
+def test_several_absences_of_one_parent(spark):
+    gone = [("k", 10, 20), ("k", 30, 40), ("k", 35, 38), ("k", 60, 50), ("k", 70, None), ("k", 80, 90)]
+    parents = spark.createDataFrame([("k", 1)], "key string, seen bigint")
+    removals = spark.createDataFrame(gone, "key string, removed bigint, restored bigint")
+    refs = spark.createDataFrame([("k", t) for t in (5, 10, 15, 20, 25, 36, 39, 40, 55, 65, 70, 95)], "key string, at bigint")
+    got = {x["at"] for x in references.orphans(refs, references.parent_intervals(parents, removals)).collect()}
+    assert got == {t for t in (5, 10, 15, 20, 25, 36, 39, 40, 55, 65, 70, 95) if any(a <= t and not (b is not None and b <= t) for _, a, b in gone)}

@@ -3,9 +3,9 @@
 Splitters are chosen by a hash of the id. Every node is walked to the next splitter or root above
 it, the splitters' own pointers form a reduced graph that is solved the same way down to the roots,
 and a node's answer is its own segment followed by its splitter's. Walks double their stride each
-round, so a segment of length L takes log2(L) rounds. Nodes whose walk never ends lie on a loop
-without a splitter or above nothing but one; they and the reduced graph's unended splitters are
-solved apart, by where a long enough walk lands.
+round, so a segment of length L takes log2(L) rounds. Loops that hold a splitter are loops of the
+reduced graph and are solved there. Nodes whose walk never ends lie on a loop without a splitter or
+below nothing but one; only these are solved apart, by where a long enough walk lands.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from ..plans.scratch import Scratch
 from .skew import even_lookup
 
 SPLITTER_EVERY = 8  # one node in so many is a splitter
+HUB = 64  # a node of so many children is a splitter, too
 LOOP, INTO_LOOP = -1, -2
-LARGE = 200_000  # walks; fewer are joined as they are, whoever they meet
 
 
 def is_splitter(node: Column, every: int = SPLITTER_EVERY) -> Column:
@@ -31,52 +31,99 @@ def hierarchy(links: DataFrame, every: int = SPLITTER_EVERY, with_paths: bool =
     ``path`` runs from the root to the node. For a node on a loop ``depth`` is -1 and ``root`` the
     loop's smallest id; for one whose ancestors lead into a loop, -2 and that loop's smallest id;
     both have a null path. Rows with a null or blank end are ignored, repeated rows count once, and
-    of several parents of a child the smallest counts. An empty input gives an empty result.
+    of several parents of a child the smallest counts (``further_parents`` gives the others). An
+    empty input gives an empty result.
 
     Each round is one equi-join of the unended walks with the pointers and is written to the shared
-    folder, so rounds neither recompute each other nor are lost with an executor. Many walks may
-    stand at one node: from ``LARGE`` walks on these are counted, and those at a hot node are dealt to
-    several tasks (``skew.even_lookup``).
+    folder, so rounds neither recompute each other nor are lost with an executor. A node of many
+    children is a splitter, so its children's walks end there and no round has it as a hot key; where
+    walks meet their splitter's answer, those of a hot one are dealt to several tasks.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "hierarchy")
-    ends = links.select(F.col("child").cast("string").alias("child"), F.col("parent").cast("string").alias("parent")).where("trim(child) <> '' and trim(parent) <> ''")
+    ends = _ends(links)
     parents = ends.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("parent"))
     tops = ends.select(F.col("parent").alias("node")).distinct().join(parents, "node", "left_anti").withColumn("parent", F.lit(None).cast("string"))
-    pointers = scratch.keep(parents.unionByName(tops))
-    stop = F.col("parent").isNull() | is_splitter(F.col("node"), every)
+    hubs = ends.distinct().groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_kids")).where(F.col("_kids") >= HUB)
+    marks = parents.unionByName(tops).join(hubs, "node", "left").withColumn("splits", is_splitter(F.col("node"), every) | F.col("_kids").isNotNull()).drop("_kids")
+    pointers = scratch.keep(marks)
+    stop = F.col("parent").isNull() | F.col("splits")
+    none = F.array().cast("array<string>")
+    # a walk ends at a root or at a splitter; a root's own walk has ended where it began
     walk = pointers.select(
         "node",
         F.coalesce("parent", "node").alias("at"),
         F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
-        *([F.when(F.col("parent").isNull(), F.array().cast("array<string>")).otherwise(F.array("parent")).alias("path")] if with_paths else []),
+        F.coalesce("parent", "node").alias("low"),
+        *([F.when(F.col("parent").isNull(), none).otherwise(F.array("parent")).alias("path")] if with_paths else []),
     )
-    # a walk ends at a root or at a splitter; a root's own walk has ended where it began
     stops = pointers.where(stop).select(F.col("node").alias("at"), F.lit(True).alias("ended"))
-    total = pointers.count()
     ended, unended = _walk_on(scratch, _marked(walk, stops), with_paths)
-    # the reduced graph: splitters and roots, each pointing to the next splitter or root above; a
-    # splitter with no stop above circles in place
+    # the reduced graph: splitters and roots, each pointing to the next one above. A splitter with no
+    # stop above stands below a loop without a splitter; there the reduced walk ends, too
     nodes = pointers.where(stop).select("node")
-    in_place = unended.join(nodes, "node", "left_semi").withColumn("at", F.col("node"))
-    reduced = _union([ended.join(nodes, "node", "left_semi"), in_place]).drop("ended")
-    roots = pointers.where(F.col("parent").isNull()).select(F.col("node").alias("at"), F.lit(True).alias("ended"))
-    solved, circling = _walk_on(scratch, _marked(reduced, roots), with_paths)
+    in_place = unended.join(nodes, "node", "left_semi").select("node", F.col("node").alias("at"), F.lit(0).cast("bigint").alias("dist"), F.col("node").alias("low"), *([none.alias("path")] if with_paths else []))
+    reduced = scratch.keep(ended.join(nodes, "node", "left_semi").drop("ended").unionByName(in_place))
+    sinks = unended.join(nodes, "node", "left_semi").select(F.col("node").alias("at"), F.lit(True).alias("ended"))
+    tops_at = pointers.where(F.col("parent").isNull()).select(F.col("node").alias("at"), F.lit(True).alias("ended"))
+    solved, circling = _walk_on(scratch, _marked(reduced, tops_at.unionByName(sinks)), with_paths)
     above = solved.select(F.col("node").alias("at"), F.col("at").alias("root"), F.col("dist").alias("more"), *([F.col("path").alias("above")] if with_paths else []))
-    good = _meet(ended, above, total).select(
+    met = scratch.keep(even_lookup(ended, above, "at").drop("ended", "low"))
+    good = met.join(sinks.select(F.col("at").alias("root")), "root", "left_anti").select(
         "node",
         "root",
         (F.col("dist") + F.col("more")).alias("depth"),
         *([F.reverse(F.concat(F.array("node"), "path", "above")).alias("path")] if with_paths else []),
     )
-    lost = unended.select("node").unionByName(ended.join(circling.select(F.col("node").alias("at")), "at", "left_semi").select("node"))
-    start, n = scratch.keep_counting(lost.join(pointers, "node").select("node", F.col("parent").alias("at"), F.least("node", "parent").alias("low")), F.count(F.lit(1)))
-    if not n:
+    lost = _lost(scratch, pointers, met.select("node", F.col("root").alias("at")), unended, ended, reduced, circling)
+    if lost is None:
         return good
-    loops = _loops(scratch, start)
     if with_paths:
-        loops = loops.withColumn("path", F.lit(None).cast("array<string>"))
-    return good.unionByName(loops)
+        lost = lost.withColumn("path", F.lit(None).cast("array<string>"))
+    return good.unionByName(lost)
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.col("child").cast("string").alias("child"), F.col("parent").cast("string").alias("parent")).where("trim(child) <> '' and trim(parent) <> ''")
+
+
+def further_parents(links: DataFrame) -> DataFrame:
+    """``child, parent`` of the links that ``hierarchy`` doesn't follow: all parents of a child but the smallest."""
+    ends = _ends(links).distinct()
+    first = ends.groupBy("child").agg(F.min("parent").alias("first"))
+    return ends.join(first, "child").where("parent <> first").select("child", "parent")
+
+
+def _lost(scratch: Scratch, pointers: DataFrame, met: DataFrame, unended: DataFrame, ended: DataFrame, reduced: DataFrame, circling: DataFrame) -> DataFrame | None:
+    """``node, root, depth`` of nodes on or below loops; None where there are none.
+
+    Loops without a splitter are solved among the nodes whose walk never ends. Loops with splitters
+    are solved on the reduced graph, whose pointers know the least id on their way; from the
+    splitters on them the nodes between are marked step by step.
+    """
+    bare = unended.select("node").join(pointers, "node").select("node", F.col("parent").alias("at"), F.least("node", "parent").alias("low"), F.lit(False).alias("reduced"))
+    ring = circling.select("node").join(reduced, "node").select("node", "at", "low", F.lit(True).alias("reduced"))
+    start, n = scratch.keep_counting(bare.unionByName(ring), F.count(F.lit(1)))
+    if not n:
+        return None
+    # the two graphs share no node, so they are solved in the same rounds
+    looped = scratch.keep(_loops(scratch, start.drop("reduced")).join(start.select("node", "reduced"), "node"))
+    apart, of_splitters = looped.where("not reduced").drop("reduced"), looped.where("reduced").drop("reduced")
+    into = even_lookup(met, apart.select(F.col("node").alias("at"), "root"), "at").select("node", "root", F.lit(INTO_LOOP).cast("bigint").alias("depth"))
+    front, n = scratch.keep_counting(of_splitters.where(F.col("depth") == LOOP).select("node", "root"), F.count(F.lit(1)))
+    if not n:
+        return apart.unionByName(into)
+    on, way = front, pointers.select("node", "parent")
+    between = pointers.where("not splits").select(F.col("node").alias("parent"))
+    inside = way.join(between, "parent", "left_semi")
+    while n:
+        step = front.join(inside, "node").select(F.col("parent").alias("node"), "root")
+        front, n = scratch.keep_counting(step, F.count(F.lit(1)))
+        on = on.unionByName(front)
+    below = even_lookup(ended.select("node", "at"), of_splitters.select(F.col("node").alias("at"), "root"), "at").select("node", "root")
+    parts = [apart, into, on.withColumn("depth", F.lit(LOOP).cast("bigint")), below.join(on.select("node"), "node", "left_anti").withColumn("depth", F.lit(INTO_LOOP).cast("bigint"))]
+    return _union(parts)
+
 
 
 def _marked(walk: DataFrame, stops: DataFrame) -> DataFrame:
@@ -87,15 +134,18 @@ def _walk_on(scratch: Scratch, walk: DataFrame, with_paths: bool) -> tuple[DataF
     """Doubles the stride of all unended walks until a round ends none of them: (ended, never ending).
 
     Distances to the next stop have no gaps along a walk, so a round that ends nothing shows that
-    what remains never ends. ``path`` holds the nodes after the start up to ``at``.
+    what remains never ends. ``path`` holds the nodes after the start up to ``at``, ``low`` is the
+    least of these.
     """
     walk, n = scratch.keep_counting(walk, F.count_if(~F.col("ended")))
     done, left = [walk.where("ended")], walk.where("not ended")
     while n:
         # a step goes on from any node: from one whose walk has ended, too
         steps = _union([*done, left])
-        to = steps.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("dist").alias("more"), *([F.col("path").alias("further")] if with_paths else []), "ended")
-        step = _meet(left.drop("ended"), to, n).select("node", F.col("to").alias("at"), (F.col("dist") + F.col("more")).alias("dist"), *([F.concat("path", "further").alias("path")] if with_paths else []), "ended")
+        to = steps.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("dist").alias("more"), F.col("low").alias("lower"), *([F.col("path").alias("further")] if with_paths else []), "ended")
+        step = left.drop("ended").join(to, "at").select(
+            "node", F.col("to").alias("at"), (F.col("dist") + F.col("more")).alias("dist"), F.least("low", "lower").alias("low"), *([F.concat("path", "further").alias("path")] if with_paths else []), "ended"
+        )
         before = n
         moved, n = scratch.keep_counting(step, F.count_if(~F.col("ended")))
         done.append(moved.where("ended"))
@@ -105,11 +155,6 @@ def _walk_on(scratch: Scratch, walk: DataFrame, with_paths: bool) -> tuple[DataF
     return _union(done), left
 
 
-def _meet(walks: DataFrame, pointers: DataFrame, n: int) -> DataFrame:
-    """Walks with the pointer of the node they stand at; many may stand at one."""
-    return even_lookup(walks, pointers, "at") if n >= LARGE else walks.join(pointers, "at")
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -18,15 +18,16 @@ def snapshot_changes(rows: DataFrame, keys: list[str], version: str, delivered:
     every value and equals null. Rows with a null version or a null in a key are left out. With
     fewer than two versions nothing changes.
 
-    Repeated rows are folded before they travel. The rows are then range-partitioned and sorted by
-    key, and one pass over each range compares each row with the one before and after it, which is
-    the merge of neighbouring snapshots. A key's rows are at most as many as there are versions, so
-    no key can make a range large, whatever shares one column's values have.
+    The snapshots travel once: they are range-partitioned by key, and within a range sorted by key and
+    version. There, without another shuffle, a key's deliveries within a version are folded, and one
+    pass merges all neighbouring snapshots at once: where the next row of the order is the same key in
+    the next version the two are compared, else the key came or went. A range is cut by whole keys,
+    of which each holds its own deliveries only, whatever shares the values of one key column have.
     """
     held = rows.where(" and ".join(f"`{c}` is not null" for c in [*keys, version]))
-    last = held.groupBy(*keys, version).agg(F.max(F.struct(F.col(delivered).alias("_t"), *[F.col(c) for c in compare])).alias("_row"))
     numbered = F.broadcast(_numbered(held.select(F.col(version).alias("_version"))).withColumnRenamed("_version", version))
-    ranged = last.join(numbered, version).repartitionByRange(*keys)
+    ranged = held.select(*keys, version, delivered, *[c for c in compare if c not in keys]).join(numbered, version).repartitionByRange(*keys)
+    ranged = ranged.groupBy(*keys, "_i", "_n", version).agg(F.max(F.struct(F.col(delivered).alias("_t"), *[F.col(c) for c in compare])).alias("_row"))
     w = W.partitionBy(*keys).orderBy("_i")
     values = F.struct(*[F.col(f"_row.{c}").alias(c) for c in compare])
     seen = ranged.select(*keys, "_i", "_n", version, values.alias("_now")).select(
