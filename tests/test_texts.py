@@ -1,16 +1,16 @@
-import pytest
-
 from tracewell.functions import ids, json, markup, names, text
 from tracewell.operators import screen
 
 
-@pytest.mark.parametrize("raw,folded", [("Hip-Hop", "hip hop"), ("the blues", "blues"), ("tropicália", "tropicalia"), ("R&B!", "rb"), ("", ""), ("A cappella", "a cappella"), ("the the blues", "the blues"), ("Straße  / Nord", "strasse nord")])
-def test_names_are_folded(raw, folded):
-    assert names.fold_text(raw) == folded
+def test_names_are_folded(spark):
+    want = {"Hip-Hop": "hip hop", "the blues": "blues", "tropicália": "tropicalia", "R&B!": "rb", "": "", "A cappella": "a cappella", "the the blues": "the blues", "Straße  / Nord": "strasse nord", "the": "the", " The  ": "the", "É́cole—x": "ecolex"}
+    d = spark.createDataFrame([(x,) for x in want] + [(None,)], "x string")
+    assert [r[0] for r in d.select(names.normalise(d.x)).collect()] == [*want.values(), None]
 
 
-def test_the_suffix_is_optional_but_not_the_name():
-    assert [names.optional_suffix(x) for x in ("heavy metal music", "music", "blues")] == ["heavy metal", "music", "blues"]
+def test_the_suffix_is_optional_but_not_the_name(spark):
+    d = spark.createDataFrame([("Heavy Metal Music",), ("music",), ("blues",), (None,)], "x string")
+    assert [r[0] for r in d.select(names.label_key(d.x)).collect()] == ["heavy metal", "music", "blues", None]
 
 
 def test_search_and_resolve(spark):
@@ -24,23 +24,27 @@ def test_search_and_resolve(spark):
 
 
 def test_markup_goes():
-    wiki = "{{Infobox|a={{b}}|origins = [[swing]]\n}}'''X''' is [[blues rock|blues-rock]].<ref>Swing: a title</ref> [[File:x.jpg|swing]] [[open\n== Life ==\nMore <b>bold</b> text.\n== References ==\nswing"
+    wiki = "{{Box|a={{b}}|origins = [[tarn]]\n}}'''X''' is [[old rook|old-rook]].<ref>Tarn: a title</ref> [[File:x.jpg|tarn]] <!-- tarn --> {| tarn [[x]] |}[[open\n== Life ==\nMore <b>bold</b> text<ref name=a/>.\n<math>tarn</math>\n== References ==\ntarn"
     body = markup.prose(wiki)
-    assert "swing" not in body.lower() and "blues-rock" in body and "Life" not in body and "More bold text." in " ".join(body.split())
-    assert markup.box_origins(wiki.replace("\n}}", "\n}} ")) == "[[swing]]"
-    assert markup.without_regions("a {{b {{c}} d}} e }} f {{g", "{{", "}}") == "a  e }} f "
-    assert markup.links_shown("[[a|[[b|c]]]] ]] x [[d") == "c ]] x [[d"
+    assert "tarn" not in body.lower() and "old-rook" in body and "Life" not in body and "More bold text ." in " ".join(body.split()) and "[[open" in body
+    assert markup.box_origins(wiki.replace("|origins", "\n|origins")) == "[[tarn]]" and markup.box_origins("| x = 1") == ""
+    assert markup.box_origins("{{B\n| Stylistic_origins = a\nb\n| other = c\n}}") == "a b"
+    assert markup.prose("a {{b {{c}} d}} e }} f {{g") == "a e }} f "
+    assert markup.prose("[[a|[[b|c]]]] ]] x [[d") == "c ]] x [[d" and markup.prose("<!-- open x") == "<!-- open x" and markup.prose("") == ""
 
 
 def test_sentences_keep_initials_and_abbreviations():
-    assert markup.sentences("C.L. Franklin met Dr. King. They sang! Why? No. 5 won") == ["C.L. Franklin met Dr. King.", "They sang!", "Why?", "No. 5 won"]
+    assert markup.sentences("A.B. Orv met Dr. Tarn. They hummed! Why? No. 5 won") == ["A.B. Orv met Dr. Tarn.", "They hummed!", "Why?", "No. 5 won"]
+    assert markup.sentences("") == [""] and markup.sentences("one") == ["one"]
 
 
 def test_mentions_leave_out_the_subjects_own_name():
-    body = "Western swing is music. It drew on swing and SWING.\nswinging is not."
-    found = markup.mentions(body, ["swing"], ["Western swing"])
-    assert [m[1] for m in found] == [body.index("swing and"), body.index("SWING")] and found[0][3] == "It drew on swing and SWING."
-    assert len(markup.mentions("Western swing", ["Western swing"], ["swing"])) == 1
+    body = "Upper rook is music. It drew on rook and ROOK.\nrookish is not. Old\u00a0rook."
+    found = markup.mentions(body, markup.finder(["rook"]), markup.finder(["Upper rook"]))
+    assert [m[1] for m in found] == [body.index("rook and"), body.index("ROOK"), body.rindex("rook")] and found[0][3] == "It drew on rook and ROOK."
+    assert len(markup.mentions("Upper rook", markup.finder(["Upper rook"]), markup.finder(["rook"]))) == 1
+    assert [m[0] for m in markup.mentions("rook song x", markup.finder(["rook", "rook song"]), None)] == ["rook song"] and markup.mentions("x", None, None) == []
+    assert markup.variants("The Tarn", "the tarn ", None, " ", "Ox") == ["The Tarn", "Ox"]
 
 
 def test_assertions():
@@ -52,6 +56,9 @@ def test_verdicts_by_tier(spark):
     arts = spark.createDataFrame([("s1", 1, "Delta blues", "Delta blues drew on work song. It is a subgenre of blues."), ("s2", 2, "Other", "text"), ("s3", 3, None, "{{Infobox\n| origins = [[work song]]\n}} nothing")], "subject_id string, doc_id int, title string, text string")
     nodes = spark.createDataFrame([("s1", "delta blues", 1), ("s2", "mine", 1), ("s3", "third", 1), ("o", "work song", 1)], "id string, label string, ord int")
     cand = spark.createDataFrame([("s1", "o"), ("s2", "o"), ("s3", "o"), ("s4", "o"), ("s1", "unknown"), (None, "o")], "subject_id string, object_id string")
+    aliases = spark.createDataFrame([("s2", "Other"), ("s2", "Other"), ("x", None)], "id string, alias string")
+    known = {(r["subject_id"], r["object_id"]): r["tier"] for r in screen.screened(cand, arts, nodes, aliases).collect()}
+    assert known[("s2", "o")] == "ORPHAN" and known[("s1", "o")] == "PROSE" and len(known) == 6
     got = {(r["subject_id"], r["object_id"]): (r["tier"], r["assertion"]) for r in screen.screened(cand, arts, nodes).collect()}
     assert got == {("s1", "o"): ("PROSE", "ASSERTS"), ("s2", "o"): ("MISLINKED", "NONE"), ("s3", "o"): ("INFOBOX_ONLY", "NONE"), ("s4", "o"): ("NO_ARTICLE", "NONE"), ("s1", "unknown"): ("ORPHAN", "NONE"), (None, "o"): ("NO_ARTICLE", "NONE")}
 
