@@ -180,7 +180,7 @@ def seeded_walk(edges: DataFrame, starts: DataFrame, seed: int, most: int = 5) -
     now = scratch.keep(starts.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("chain")).distinct())
     for _ in range(most):
         # the choice depends on start and place only, so it is the same in every run
-        pick = now.join(steps, now.at == steps.a).groupBy("start").agg(F.min_by("b", F.struct(F.xxhash64(F.lit(seed), "start", "b"), "b")).alias("next"))
+        pick = now.join(steps, now.at == steps.a).groupBy("start").agg(F.min_by("b", F.struct(F.md5(F.concat(F.lit(f"{seed}|"), "start", F.lit("|"), "b")), "b")).alias("next"))
         moved = now.join(pick, "start", "left")
         going = F.col("next").isNotNull() & ~F.array_contains("chain", F.coalesce("next", F.lit("")))
         now = scratch.keep(moved.select("start", F.when(going, F.col("next")).alias("at"), F.when(going, F.concat("chain", F.array("next"))).otherwise(F.col("chain")).alias("chain")))
@@ -198,3 +198,22 @@ def chain_breaks(chains: DataFrame, approved: DataFrame) -> DataFrame:
     """``chain_id, pos, a, b``: consecutive pairs of ``chains(chain_id, chain)`` that are no approved edge. A whole chain is admissible when it has none."""
     pairs = chains.select("chain_id", F.posexplode(F.arrays_zip(F.expr("slice(chain, 1, greatest(size(chain) - 1, 0))").alias("a"), F.expr("slice(chain, 2, greatest(size(chain) - 1, 0))").alias("b"))).alias("pos", "x")).select("chain_id", "pos", "x.a", "x.b")
     return pairs.join(approved.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b")).distinct(), ["a", "b"], "left_anti").select("chain_id", "pos", "a", "b")
+
+
+def reaches(claims: DataFrame) -> DataFrame:
+    """``run_id, descendant, ancestor, hops`` of every two nodes that a run's ``claims(run_id, subject_id, object_id)`` connect, at any depth from 1.
+
+    A claim steps from subject to object; a node doesn't reach itself. All runs advance together, a
+    level a round, each within its own claims. The result is one row per pair that a run reaches.
+    """
+    scratch = Scratch(claims.sparkSession, "reaches")
+    steps = scratch.keep(claims.where("subject_id is not null and object_id is not null and subject_id <> object_id").select("run_id", F.col("subject_id").alias("a"), F.col("object_id").alias("b")).distinct())
+    front, n = scratch.keep_counting(steps.select("run_id", F.col("a").alias("descendant"), F.col("b").alias("ancestor"), F.lit(1).cast("bigint").alias("hops")), F.count(F.lit(1)))
+    seen, key = front, ["run_id", "descendant", "ancestor"]
+    level = 1
+    while n:
+        level += 1
+        tried = front.join(steps.withColumnRenamed("a", "ancestor"), ["run_id", "ancestor"]).where("descendant <> b").select("run_id", "descendant", F.col("b").alias("ancestor")).distinct()
+        front, n = scratch.keep_counting(tried.join(seen, key, "left_anti").withColumn("hops", F.lit(level).cast("bigint")), F.count(F.lit(1)))
+        seen = seen.unionByName(front)
+    return seen

@@ -102,3 +102,21 @@ def latest(items: DataFrame, order: str, n: int) -> DataFrame:
 def backoff(attempt_col: str, base: float = 5.0, cap: float = 60.0):
     """The delay before a retry, doubling from ``base``, at most ``cap``."""
     return F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), F.col(attempt_col)))
+
+
+def tumbling(events: DataFrame, at: str, width: str, by: list[str], value: str) -> DataFrame:
+    """``start, by..., n, total`` per window of event time; rows without a time are left out.
+
+    The same expression serves a stream: with a watermark on ``at`` a window is given out when it has
+    passed, and what comes later is dropped (``streaming.events.late_windows``).
+    """
+    held = events.where(F.col(at).isNotNull())
+    per = held.groupBy(F.window(at, width).alias("_w"), *by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 6).alias("total"))
+    return per.select(F.col("_w.start").alias("start"), *by, "n", "total")
+
+
+def sessions(events: DataFrame, at: str, gap: str, by: list[str]) -> DataFrame:
+    """``by..., start, stop, n``: runs of events of which each follows the one before within less than ``gap``; a session stops a gap behind its last event."""
+    held = events.where(F.col(at).isNotNull())
+    per = held.groupBy(*by, F.session_window(at, gap).alias("_w")).agg(F.count(F.lit(1)).alias("n"))
+    return per.select(*by, F.col("_w.start").alias("start"), F.col("_w.end").alias("stop"), "n")

@@ -94,6 +94,15 @@ def floor_verdict(value: Column, least: Column) -> Column:
 
 
 def incomparable(runs: DataFrame, fields: list[str]) -> DataFrame:
-    """``field, n_values, values`` of fields on which the runs differ; null is a value. Runs may be pooled when there are none."""
-    long = runs.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("<null>")).alias("v")) for f in fields])))
-    return long.groupBy("field", "v").agg(F.count(F.lit(1)).alias("_n")).groupBy("field").agg(F.count(F.lit(1)).alias("n_values"), F.array_join(F.slice(F.array_sort(F.collect_list("v")), 1, 20), ",").alias("values")).where("n_values > 1")
+    """``field, value, n`` of fields on which the runs differ: a row per value, with the rows that hold it; null is a value. Runs may be pooled when there are none."""
+    long = runs.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("<null>")).alias("value")) for f in fields])))
+    counts = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    several = counts.groupBy("field").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("field")
+    return counts.join(several, "field", "left_semi").select("field", "value", "n")
+
+
+def case_sets(results: DataFrame) -> DataFrame:
+    """``run_id, n_cases, case_set``: a digest of the distinct cases of each run, whatever their order; runs over the same cases have the same."""
+    one = results.where("case_id is not null").select("run_id", "case_id").distinct()
+    h = F.conv(F.substring(F.md5("case_id"), 1, 15), 16, 10).cast("bigint")
+    return one.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_cases"), F.bit_xor(h).alias("case_set"))

@@ -83,6 +83,13 @@ def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", F.array_join("path", " > ").alias("path"))
 
 
+def p3_further_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many links the hierarchy follows, and how many it leaves out as their child has another parent."""
+    links = _subclass_links(spark, sf_dir).distinct()
+    further = hierarchy.further_parents(links).agg(F.count(F.lit(1)).alias("n_left_out"))
+    return links.where("trim(child) <> '' and trim(parent) <> ''").agg(F.count(F.lit(1)).alias("n_links")).crossJoin(F.broadcast(further))  # one row each
+
+
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchy(_subclass_links(spark, sf_dir))).withColumnsRenamed({"ancestor": "ancestor_id", "node": "node_id"})
 
@@ -188,7 +195,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).groupBy("from_version", "to_version", "change_kind", F.array_join("changed_columns", ",").alias("changed_columns")).agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_claims, p1_cases, p3_found, p3_paths, p3_descendants, p4_found, p4_table, p4_report, p4_names, p5_found, p5_report, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_claims, p1_cases, p3_found, p3_paths, p3_further_parents, p3_descendants, p4_found, p4_table, p4_report, p4_names, p5_found, p5_report, p6_found, p6_report)}
 
 # SQL for the driver: the same meaning in one statement each
 
@@ -238,6 +245,15 @@ ORACLES: dict[str, str] = {
     "p3_found": f"""with recursive {_TREE}, g as (select w.id, w.cur, w.d from w join m using (id) where w.d = m.d)
  select g.id node_id, case when m.d < 300 then g.cur when lp.id is not null then lp.low else l2.low end root_id, (case when m.d < 300 then m.d when lp.id is not null then -1 else -2 end)::bigint depth
  from g join m using (id) left join lp using (id) left join lp l2 on l2.id = g.cur""",
+    "p3_paths": f"""with recursive {_TREE}, g as (select w.id, w.cur, w.d from w join m using (id) where w.d = m.d),
+ pa(id, d, path) as (select id, m.d, id from m where m.d = 0 union all select s.c, pa.d + 1, pa.path || ' > ' || s.c from pa join s on s.p = pa.id)
+ select g.id node_id, case when m.d < 300 then g.cur when lp.id is not null then lp.low else l2.low end root_id, (case when m.d < 300 then m.d when lp.id is not null then -1 else -2 end)::bigint depth, pa.path
+ from g join m using (id) left join lp using (id) left join lp l2 on l2.id = g.cur left join pa on pa.id = g.id""",
+    "p3_further_parents": f"with {_SUB}, k as (select count(*) n from s where trim(c) <> '' and trim(p) <> '') select n n_links, (select coalesce(sum(x), 0) from (select count(*) - 1 x from s where trim(c) <> '' and trim(p) <> '' group by c))::bigint n_left_out from k",
+    # objects named by ``_MAPS`` are tagged and not entered; no other key of these manifests holds a dot
+    "p4_report": r"""with x as (select distinct m.file_id, replace(regexp_replace(substr(t.fullkey, 3), '\[[0-9]+\]', '[]', 'g'), '"', '') path, case t.type when 'VARCHAR' then 'string' when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'decimal' when 'ARRAY' then 'list' when 'OBJECT' then 'object' when 'BOOLEAN' then 'boolean' else 'null' end tag
+  from manifest_files m, json_tree(m.body) t where json_valid(m.body) and t.parent is not null and not regexp_matches(t.fullkey, '^\$\.(source_snapshot|verification_counts)[.\[]')) select path, tag, count(*) n from x group by all""",
+    "p4_names": "select * from (values " + ", ".join(f"('{n}', '{x}')" for n, xs in P4_SQL_PATHS.items() for x in xs) + ") v(field_name, path)",
     "p3_descendants": f"with recursive {_TREE} select w.cur ancestor_id, w.id node_id, w.d::bigint distance from w join m using (id) where w.d > 0 and m.d < 300",
     "p5_found": f"with {_REFS} select ref_table, ref_field, record_id, item_pos, ref_id, cause from o where cause is not null",
     "p5_report": f"with {_REFS} select ref_table, ref_field, strftime(tm, '%Y-%m') as \"month\", cause, count(*) n_refs, count(distinct record_id) n_records from o where cause is not null group by all",

@@ -356,10 +356,35 @@ def chain_admissibility(spark, sf_dir):
     return graph.chain_breaks(chains, rel.edges(spark, sf_dir)).select(F.col("chain_id.run_id").alias("chain_id"), F.col("chain_id.ord").alias("pos"), "a", "b")
 
 
-@query()
+_WALK = """w(start, cur, chain, k) as (select id, id, [id], 0 from q union all
+ select start, nx, list_append(chain, nx), k + 1 from (select w.start, w.chain, w.k, arg_min(e.object_id, md5('11|' || w.start || '|' || e.object_id) || e.object_id) nx from w join e on e.subject_id = w.cur where w.k < 5 group by all) where not list_contains(chain, nx)),
+ ww as (select start, arg_max(chain, k) chain from w group by 1)"""
+
+
+def _walks(spark, sf_dir):
+    return graph.seeded_walk(rel.edges(spark, sf_dir), rel.asked_ids(spark, sf_dir), seed=11)
+
+
+@query(f"{with_('e', 'q')}, {_WALK} select start, array_to_string(chain, ' > ') chain from ww")
 def seeded_walks(spark, sf_dir):
-    w = graph.seeded_walk(rel.edges(spark, sf_dir), rel.asked_ids(spark, sf_dir), seed=11)
-    return w.select("start", F.array_join("chain", " > ").alias("chain"))
+    return _walks(spark, sf_dir).select("start", F.array_join("chain", " > ").alias("chain"))
+
+
+@query(f"{with_('e', 'q')}, {_WALK}, {_PATHS.format(start='q', a='e.subject_id', b='e.object_id').replace('w(', 'sp(', 1).replace('w.', 'sp.').replace('from w join', 'from sp join').replace('recurring.w', 'recurring.sp')} select start, chain[-1] target, len(steps) hops from ww join sp on sp.source = ww.start and sp.node = chain[-1] where len(steps) >= 2")
+def walk_paths(spark, sf_dir):
+    """The shortest path to where each walk ends, where it has two hops or more."""
+    ends = Scratch(spark, "walks").keep(_walks(spark, sf_dir).select(F.col("start").alias("source"), F.element_at("chain", -1).alias("target")).where("source <> target"))
+    paths = graph.shortest_paths(rel.edges(spark, sf_dir), ends.select(F.col("source").alias("id")), targets=ends)
+    return paths.where("hops >= 2").select(F.col("source").alias("start"), "target", "hops")
+
+
+_REACH = "ap as (select distinct run_id, subject_id a, object_id b from c where subject_id <> object_id), rc(run_id, descendant, ancestor, hops) using key (run_id, descendant, ancestor) as (select run_id, a, b, 1::bigint from ap union select rc.run_id, rc.descendant, ap.b, min(rc.hops + 1) from rc join ap on ap.run_id = rc.run_id and ap.a = rc.ancestor where rc.descendant <> ap.b and not exists (select 1 from recurring.rc x where x.run_id = rc.run_id and x.descendant = rc.descendant and x.ancestor = ap.b) group by all)"
+
+
+@query(f"{with_('c')}, {_REACH} select * from rc")
+def descent_reachable(spark, sf_dir):
+    """What each run's claims establish as descended from what, at any depth."""
+    return graph.reaches(rel.claims(spark, sf_dir))
 
 
 # names
@@ -562,12 +587,22 @@ def gate_verdicts(spark, sf_dir):
     return _runs(spark, sf_dir).select("run_id", verdict("n_refused", "n_cases", 0.05).alias("refusal_floor"), verdict("n_chars", "n_claims", 40.0).alias("chars_floor"), verdict("n_claims", "n_cases", None).alias("claims_floor"))
 
 
-@query(f"{with_('t')}, l as (" + " union all ".join(f"select '{f}' field, coalesce({f}::varchar, '<null>') v from t" for f in ("dataset", "provider", "model_id", "artifact_version")) + ") select field, count(distinct v) n_values, array_to_string(list_sort(list(distinct v))[1:20], ',') as \"values\" from l group by 1 having count(distinct v) > 1")
+@query(
+    f"{with_('t')}, l as ("
+    + " union all ".join(f"select '{f}' field, coalesce({f}::varchar, '<null>') v from t" for f in ("dataset", "provider", "model_id", "artifact_version"))
+    + """), k as (select field, v as "value", count(*) n from l group by all) select * from k where field in (select field from k group by 1 having count(*) > 1)"""
+)
 def incomparable_runs(spark, sf_dir):
     fields = ["dataset", "provider", "model_id", "artifact_version"]
     return stats.incomparable(rel.transcripts(spark, sf_dir, fields), fields)
 
 
+@query(f"{with_('t')}, k as (select distinct run_id, case_id from t where case_id is not null) select run_id, count(*) n_cases, bit_xor(('0x' || substr(md5(case_id), 1, 15))::bigint) case_set from k group by 1")
+def case_sets(spark, sf_dir):
+    """Which runs were over the same cases."""
+    return stats.case_sets(rel.transcripts(spark, sf_dir, ["run_id", "case_id"]))
+
+
 # json and digests
 
 
@@ -683,7 +718,12 @@ def event_fold_stream(spark, sf_dir):
     return ev.run_stream(scratch.keep(_events(spark, sf_dir))._scratch_path, scratch, spark)
 
 
-@query()
+_FRAMES = f"""{with_('ea', 'n', 'c')}, {_GATE.format(proposals='select run_id, ord, subject_id, predicate, object_id from c')},
+ ev as (select transcript_id run_id, 0::bigint seq, 'planned' kind, null::varchar "text" from t union all select transcript_id, {1 << 30}::bigint, case when coalesce(refused, false) then 'refused' else 'token' end, prose from t
+  union all select transcript_id, {(1 << 30) + 1}::bigint, 'done', null from t union all select run_id, ord + 1, case when reason is null then 'claim_approved' else 'claim_rejected' end, reason from g)"""
+
+
+@query(_FRAMES + """ select run_id, seq, 'event: ' || kind || chr(10) || 'data: ' || to_json({'run_id': run_id, 'seq': seq, 'text': "text"})::varchar || chr(10) || chr(10) frame from ev""")
 def event_frames(spark, sf_dir):
     return ev.frames(_events(spark, sf_dir))
 

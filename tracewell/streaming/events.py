@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ordered import tumbling
 from ..plans.scratch import Scratch, shared_folder
 
 EVENT = "run_id bigint, seq bigint, event_type string, text string"
@@ -88,3 +89,11 @@ def frames(events: DataFrame) -> DataFrame:
     """Each event as a server-sent frame, in order: ``run_id, seq, frame``."""
     data = F.to_json(F.struct("run_id", "seq", "text"), {"ignoreNullFields": "false"})
     return events.select("run_id", "seq", F.concat(F.lit("event: "), "event_type", F.lit("\ndata: "), data, F.lit("\n\n")).alias("frame"))
+
+
+def late_windows(arrivals: DataFrame, at: str, width: str, delay: str, by: list[str], value: str) -> DataFrame:
+    """``ordered.tumbling`` over a stream: a window is given out once the watermark, ``delay`` behind the latest ``at``, has passed it.
+
+    Events that come later than that are dropped; state is kept for open windows only.
+    """
+    return tumbling(arrivals.withWatermark(at, delay), at, width, by, value)
