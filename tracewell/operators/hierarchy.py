@@ -55,20 +55,21 @@ def hierarchy(links: DataFrame, every: int = SPLITTER_EVERY, with_paths: bool =
         F.coalesce("parent", "node").alias("at"),
         F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
         F.coalesce("parent", "node").alias("low"),
-        *([F.when(F.col("parent").isNull(), none).otherwise(F.array("parent")).alias("path")] if with_paths else []),
+        F.when(F.col("parent").isNull(), none).otherwise(F.array("parent")).alias("path"),
     )
     stops = pointers.where(stop).select(F.col("node").alias("at"), F.lit(True).alias("ended"))
-    ended, unended = _walk_on(scratch, _marked(walk, stops), with_paths)
+    ended, unended = _walk_on(scratch, _marked(walk, stops), True)  # segments are short: their nodes are kept
     # the reduced graph: splitters and roots, each pointing to the next one above. A splitter with no
     # stop above stands below a loop without a splitter; there the reduced walk ends, too
     nodes = pointers.where(stop).select("node")
-    in_place = unended.join(nodes, "node", "left_semi").select("node", F.col("node").alias("at"), F.lit(0).cast("bigint").alias("dist"), F.col("node").alias("low"), *([none.alias("path")] if with_paths else []))
+    in_place = unended.join(nodes, "node", "left_semi").select("node", F.col("node").alias("at"), F.lit(0).cast("bigint").alias("dist"), F.col("node").alias("low"), none.alias("path"))
     reduced = scratch.keep(ended.join(nodes, "node", "left_semi").drop("ended").unionByName(in_place))
     sinks = unended.join(nodes, "node", "left_semi").select(F.col("node").alias("at"), F.lit(True).alias("ended"))
     tops_at = pointers.where(F.col("parent").isNull()).select(F.col("node").alias("at"), F.lit(True).alias("ended"))
-    solved, circling = _walk_on(scratch, _marked(reduced, tops_at.unionByName(sinks)), with_paths)
+    onward = reduced if with_paths else reduced.drop("path")
+    solved, circling = _walk_on(scratch, _marked(onward, tops_at.unionByName(sinks)), with_paths)
     above = solved.select(F.col("node").alias("at"), F.col("at").alias("root"), F.col("dist").alias("more"), *([F.col("path").alias("above")] if with_paths else []))
-    met = scratch.keep(even_lookup(ended, above, "at").drop("ended", "low"))
+    met = scratch.keep(even_lookup(ended.drop("ended", "low", *([] if with_paths else ["path"])), above, "at"))
     good = met.join(sinks.select(F.col("at").alias("root")), "root", "left_anti").select(
         "node",
         "root",
@@ -98,8 +99,8 @@ def _lost(scratch: Scratch, pointers: DataFrame, met: DataFrame, unended: DataFr
     """``node, root, depth`` of nodes on or below loops; None where there are none.
 
     Loops without a splitter are solved among the nodes whose walk never ends. Loops with splitters
-    are solved on the reduced graph, whose pointers know the least id on their way; from the
-    splitters on them the nodes between are marked step by step.
+    are solved on the reduced graph, whose pointers know the least id on their way and the nodes of
+    their segment.
     """
     bare = unended.select("node").join(pointers, "node").select("node", F.col("parent").alias("at"), F.least("node", "parent").alias("low"), F.lit(False).alias("reduced"))
     ring = circling.select("node").join(reduced, "node").select("node", "at", "low", F.lit(True).alias("reduced"))
@@ -110,16 +111,9 @@ def _lost(scratch: Scratch, pointers: DataFrame, met: DataFrame, unended: DataFr
     looped = scratch.keep(_loops(scratch, start.drop("reduced")).join(start.select("node", "reduced"), "node"))
     apart, of_splitters = looped.where("not reduced").drop("reduced"), looped.where("reduced").drop("reduced")
     into = even_lookup(met, apart.select(F.col("node").alias("at"), "root"), "at").select("node", "root", F.lit(INTO_LOOP).cast("bigint").alias("depth"))
-    front, n = scratch.keep_counting(of_splitters.where(F.col("depth") == LOOP).select("node", "root"), F.count(F.lit(1)))
-    if not n:
-        return apart.unionByName(into)
-    on, way = front, pointers.select("node", "parent")
-    between = pointers.where("not splits").select(F.col("node").alias("parent"))
-    inside = way.join(between, "parent", "left_semi")
-    while n:
-        step = front.join(inside, "node").select(F.col("parent").alias("node"), "root")
-        front, n = scratch.keep_counting(step, F.count(F.lit(1)))
-        on = on.unionByName(front)
+    # the nodes between two splitters of a loop are those of the first one's segment
+    segments = of_splitters.where(F.col("depth") == LOOP).select("node", "root").join(reduced.select("node", "path"), "node")
+    on = scratch.keep(segments.select(F.explode("path").alias("node"), "root").distinct())
     below = even_lookup(ended.select("node", "at"), of_splitters.select(F.col("node").alias("at"), "root"), "at").select("node", "root")
     parts = [apart, into, on.withColumn("depth", F.lit(LOOP).cast("bigint")), below.join(on.select("node"), "node", "left_anti").withColumn("depth", F.lit(INTO_LOOP).cast("bigint"))]
     return _union(parts)
