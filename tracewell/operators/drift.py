@@ -226,7 +226,9 @@ def other_names(read: DataFrame, fields: list[Field], feed: str, written: str, f
     scratch = Scratch(read.sparkSession, "names")
     files = read.select(F.col(file_id).alias("file_id"), F.coalesce(F.col(feed), F.lit("")).alias("_f"), F.col(feed).isNull().alias("_fn"), F.col(written).alias("_w"), F.col("paths.path").alias("paths"))
     both = _with_before(files)
-    pairs = scratch.keep(both.select("_f", "_fn", F.array_distinct(F.coalesce("paths", F.array().cast("array<string>"))).alias("now"), "was"))
+    now = F.array_distinct(F.coalesce("paths", F.array().cast("array<string>")))
+    came = F.when(F.col("was").isNotNull(), F.array_except(now, "was")).otherwise(F.array().cast("array<string>"))
+    pairs = scratch.keep(both.select("_f", "_fn", now.alias("now"), came.alias("came"), "was"))
     while (more := _names_once(pairs, fields, least)) != fields:
         fields = more
     return fields
@@ -249,13 +251,22 @@ def _names_once(pairs: DataFrame, fields: list[Field], least: int) -> list[Field
     def has(paths: str, f: Field) -> Column:
         return F.arrays_overlap(F.col(paths), F.array(*[F.lit(p) for p in f.paths]))
 
-    free = F.filter("now", lambda p: ~p.isin(*known) & ~p.contains("[]") & ~F.greatest(*[p.startswith(k + ".") for k in known], F.lit(False)))
-    came = pairs.select("_f", "_fn", F.explode(free).alias("path"), F.coalesce(F.col("was"), F.array().cast("array<string>")).alias("was"), F.col("was").isNotNull().alias("_follows"), *[x for i, f in enumerate(fields) for x in (has("now", f).alias(f"_now{i}"), (F.coalesce(has("was", f), F.lit(False)) & ~has("now", f)).alias(f"_gone{i}"))])
-    starts = F.col("_follows") & ~F.array_contains("was", F.col("path"))
-    sums = [F.count(F.lit(1)).alias("n"), F.count_if(starts).alias("n_starts")]
+    def gone(f: Field) -> Column:
+        return F.coalesce(has("was", f), F.lit(False)) & ~has("now", f)
+
+    free = F.filter("came", lambda p: ~p.isin(*known) & ~p.contains("[]") & ~F.greatest(*[p.startswith(k + ".") for k in known], F.lit(False)))
+    likely = [r[0] for r in pairs.where(F.greatest(*[gone(f) for f in fields], F.lit(False))).select(F.explode(free).alias("path")).distinct().collect()]
+    if not likely:
+        return fields
+    # only these are counted, file by file: those that come up where a field vanishes
+    seen = F.transform(F.filter("now", lambda p: p.isin(*likely)), lambda p: F.struct(p.alias("path"), F.array_contains("came", p).alias("starts")))
+    flags = [x for i, f in enumerate(fields) for x in (has("now", f).alias(f"_now{i}"), gone(f).alias(f"_gone{i}"))]
+    held = pairs.where(F.exists("now", lambda p: p.isin(*likely))).select("_f", "_fn", *flags, seen.alias("seen"))
+    sums = [F.count(F.lit(1)).alias("n"), F.count_if("starts").alias("n_starts")]
     for i in range(len(fields)):
-        sums += [F.count_if(f"_now{i}").alias(f"both{i}"), F.count_if(F.col(f"_gone{i}")).alias(f"after{i}")]
-    fused = came.groupBy("_f", "_fn", "path").agg(*sums)  # one row per path and feed, whatever the number of files
+        sums += [F.count_if(f"_now{i}").alias(f"both{i}"), F.count_if(F.col(f"_gone{i}") & F.col("starts")).alias(f"after{i}")]
+    rest = [c for c in held.columns if c != "seen"]
+    fused = held.select(*rest, F.inline("seen")).groupBy("_f", "_fn", "path").agg(*sums)  # one row per path and feed, whatever the number of files
     per = []
     for i, f in enumerate(fields):
         fits = (F.col(f"both{i}") == 0) & (F.col(f"after{i}") > 0) & (F.col(f"after{i}") >= LEAST_SHARE * F.col("n_starts"))
