@@ -34,8 +34,13 @@ def test_grounding_and_citations(spark):
 def test_rates_are_undefined_without_a_denominator(spark):
     one = gate.refusals(spark.createDataFrame([(True, True), (False, True), (None, True)], "refused boolean, expected boolean")).first()
     assert (one["true_refusals"], one["missed_refusals"], one["true_refusal_rate"], one["false_refusal_rate"]) == (1, 1, 0.5, None)
-    d = spark.createDataFrame([(["a", "a", "b"], ["b", "c"]), ([], ["x"]), (None, None)], "g array<string>, v array<string>")
-    assert [tuple(r) for r in d.select(*gate.recall_precision(d.g, d.v)).collect()] == [(1, 2, 2), (0, 0, 0), (0, 0, 0)]
+
+
+def test_traversal_counts_sets(spark):
+    c = spark.createDataFrame([(1, "s", "a"), (1, "s", "a"), (1, "s", "x"), (1, "s", None), (1, "lone", "a"), (1, None, "a"), (2, "s", None)], "run_id int, subject_id string, object_id string")
+    e = spark.createDataFrame([("s", "a"), ("s", "b"), ("s", "b"), ("s", None), ("other", "a")], "subject_id string, object_id string")
+    assert {tuple(r) for r in gate.traversal(c, e).collect()} == {(1, "s", 1, 2, 2), (1, "lone", 0, 0, 0), (2, "s", 0, 2, 0)}
+    assert gate.traversal(c.limit(0), e).count() == 0
 
 
 def test_resistance(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import is_blank
+from ..plans.scratch import Scratch
 
 # The eras, with their first and last year.
 ERAS = (("pre-1900", -9999, 1899), ("1900-1949", 1900, 1949), ("1950-1969", 1950, 1969), ("1970-1989", 1970, 1989), ("1990-2009", 1990, 2009), ("2010-", 2010, 9999))
@@ -183,11 +184,12 @@ def drift_warning(n: Column, expected: int, tolerance: float = 0.25) -> Column:
 def batches(df: DataFrame, key: str, size: int = 40) -> DataFrame:
     """Adds ``batch``: rows in key order, ``size`` to a batch, for sources that are asked batchwise.
 
-    Ranks come from sorted ranges with their counts added up, so no task sees more than a range.
+    Ranks come from sorted ranges with their counts added up, so no task sees more than a range. The
+    ranges are written once: their numbers must be the same where they are ranked and where counted.
     """
     ordered = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
     w = W.partitionBy("_part").orderBy("_at")
-    ranked = ordered.withColumn("_r", F.row_number().over(w))
+    ranked = Scratch(df.sparkSession, "batches").keep(ordered.withColumn("_r", F.row_number().over(w)))
     counts = ranked.groupBy("_part").agg(F.max("_r").alias("_n"))
     ahead = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     return ranked.join(ahead, "_part").withColumn("batch", F.floor((F.col("_ahead") + F.col("_r") - 1) / size).cast("bigint")).drop("_part", "_at", "_r", "_ahead")

@@ -69,12 +69,20 @@ def refusals(cases: DataFrame) -> DataFrame:
     ).select("*", F.round(rate(F.col("true_refusals"), F.col("true_refusals") + F.col("missed_refusals")), 9).alias("true_refusal_rate"), F.round(rate(F.col("false_refusals"), F.col("false_refusals") + F.col("correct_answers")), 9).alias("false_refusal_rate"))
 
 
-def recall_precision(gold: Column, visited: Column) -> tuple[Column, Column, Column]:
-    """Counts (hits, gold, visited) of two lists as sets; with an empty gold list all are 0, so both rates are undefined."""
-    empty = F.array().cast("array<string>")
-    g, v = F.array_distinct(F.coalesce(gold, empty)), F.array_distinct(F.coalesce(visited, empty))
-    hits = F.size(F.array_intersect(g, v))
-    return hits.cast("bigint"), F.size(g).cast("bigint"), F.when(F.size(g) == 0, 0).otherwise(F.size(v)).cast("bigint")
+def traversal(claims: DataFrame, edges: DataFrame) -> DataFrame:
+    """``run_id, subject_id, hits, n_gold, n_visited``: of each subject that a run claims about, its objects in the graph and in the claims, as sets.
+
+    A subject that the graph has no edge of has nothing to find, so all its counts are 0 and both rates
+    undefined. Claims without a subject are left out; null objects aren't counted. Pairs are joined and
+    counted, so no list grows with a subject's degree.
+    """
+    gold = edges.select("subject_id", "object_id").where("object_id is not null").distinct()
+    visited = claims.where("subject_id is not null").select("run_id", "subject_id", "object_id").distinct()
+    met = visited.join(gold.withColumn("_hit", F.lit(1)), ["subject_id", "object_id"], "left")
+    per = met.groupBy("run_id", "subject_id").agg(F.count("_hit").alias("hits"), F.count("object_id").alias("_visited"))
+    sizes = gold.groupBy("subject_id").agg(F.count(F.lit(1)).alias("_gold"))
+    both = per.join(sizes, "subject_id", "left")
+    return both.select("run_id", "subject_id", "hits", F.coalesce("_gold", F.lit(0)).alias("n_gold"), F.when(F.col("_gold") > 0, F.col("_visited")).otherwise(0).alias("n_visited"))
 
 
 def breaches(approved: DataFrame, forbidden: DataFrame) -> DataFrame:

@@ -114,13 +114,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     one = edges.where("subject_id is not null and object_id is not null and subject_id <> object_id").select(F.col("subject_id").alias("u"), F.col("object_id").alias("v"))
     both = scratch.keep(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     every = nodes.select("id").unionByName(both.select(F.col("u").alias("id"))).where("id is not null").distinct()
-    names = scratch.keep(every.withColumn("name", F.col("id")))
+    held = scratch.keep(every.withColumn("name", F.col("id")))
+    names = held
     while True:
         heard = both.join(names.select(F.col("id").alias("v"), "name"), "v").groupBy(F.col("u").alias("id")).agg(F.min("name").alias("heard"))
         new = scratch.keep(names.join(heard, "id", "left").select("id", F.col("name").alias("was"), F.least("name", F.coalesce("heard", "name")).alias("name")))
         jump = new.select(F.col("id").alias("name"), F.col("name").alias("to"))
         after, fell = scratch.keep_counting(new.join(jump, "name").select("id", F.col("to").alias("name"), (F.col("to") < F.col("was")).alias("fell")), F.count_if("fell"))
-        names = after.drop("fell")
+        # a round reads the one before it only
+        scratch.drop(new)
+        scratch.drop(held)
+        held, names = after, after.drop("fell")
         if not fell:
             return names.withColumnRenamed("name", "component")
 

@@ -163,12 +163,14 @@ def _loops(scratch: Scratch, walk: DataFrame) -> DataFrame:
     Strides double until the nodes stood on are no fewer than the round before, which shows that
     only loop nodes are left, and no least id has changed, which shows that whole loops were passed.
     """
-    stood = None
+    stood, last = None, None
     while True:
         to = walk.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("low").alias("low2"))
         moved = scratch.keep(walk.join(to, "at").select("node", F.col("to").alias("at"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell")))
         was, (stood, fell) = stood, moved.agg(F.countDistinct("at"), F.count_if("fell")).first()
-        walk = moved.drop("fell")
+        if last is not None:
+            scratch.drop(last)
+        last, walk = moved, moved.drop("fell")
         if not stood or (stood == was and not fell):
             break
     on = walk.join(walk.select(F.col("at").alias("node")).distinct(), "node", "left_semi").select("node", F.col("low").alias("root"))

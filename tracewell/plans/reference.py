@@ -107,10 +107,7 @@ def refusal_accuracy(spark, sf_dir):
 
 @query(f"{with_('e', 'c')}, v as (select run_id, subject_id, coalesce(list(distinct object_id) filter (object_id is not null), []) visited from c where subject_id is not null group by all), g as (select subject_id, list(distinct object_id) gold from e group by all), x as (select v.*, coalesce(gold, []) gold from v left join g using (subject_id)) select run_id, subject_id, len(list_intersect(gold, visited)) hits, len(gold) n_gold, case when len(gold) = 0 then 0 else len(visited) end n_visited from x")
 def traversal_recall_precision(spark, sf_dir):
-    v = rel.claims(spark, sf_dir).where("subject_id is not null").groupBy("run_id", "subject_id").agg(F.collect_set("object_id").alias("visited"))
-    gold = rel.edges(spark, sf_dir).groupBy("subject_id").agg(F.collect_set("object_id").alias("gold"))
-    h, g, n = gate.recall_precision(F.col("gold"), F.col("visited"))
-    return v.join(gold, "subject_id", "left").select("run_id", "subject_id", h.alias("hits"), g.alias("n_gold"), n.alias("n_visited"))
+    return gate.traversal(rel.claims(spark, sf_dir), rel.edges(spark, sf_dir))
 
 
 def _forbidden(spark, sf_dir):
