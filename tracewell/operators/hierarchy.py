@@ -68,20 +68,35 @@ def hierarchy(links: DataFrame, every: int = SPLITTER_EVERY, with_paths: bool =
     tops_at = pointers.where(F.col("parent").isNull()).select(F.col("node").alias("at"), F.lit(True).alias("ended"))
     onward = reduced if with_paths else reduced.drop("path")
     solved, circling = _walk_on(scratch, _marked(onward, tops_at.unionByName(sinks)), with_paths)
-    above = solved.select(F.col("node").alias("at"), F.col("at").alias("root"), F.col("dist").alias("more"), *([F.col("path").alias("above")] if with_paths else []))
-    met = scratch.keep(even_lookup(ended.drop("ended", "low", *([] if with_paths else ["path"])), above, "at"))
-    good = met.join(sinks.select(F.col("at").alias("root")), "root", "left_anti").select(
-        "node",
-        "root",
-        (F.col("dist") + F.col("more")).alias("depth"),
-        *([F.reverse(F.concat(F.array("node"), "path", "above")).alias("path")] if with_paths else []),
-    )
-    lost = _lost(scratch, pointers, met.select("node", F.col("root").alias("at")), unended, ended, reduced, circling)
-    if lost is None:
-        return good
+    start, n = scratch.keep_counting(_unsolved(pointers, unended, circling, reduced), F.count(F.lit(1)))
+    more = ["path"] if with_paths else []
+    top = solved.select("node", F.col("at").alias("root"), "dist", *more)
+    if not n:
+        answers, apart, on = top.withColumn("lost", F.lit(False)), None, None
+    else:
+        # the two graphs share no node, so their loops are solved in the same rounds
+        looped = scratch.keep(_loops(scratch, start.drop("reduced")).join(start.select("node", "reduced"), "node"))
+        apart, ring = looped.where("not reduced").drop("reduced"), looped.where("reduced")
+        # the nodes between two splitters of a loop are those of the first one's segment
+        segments = ring.where(F.col("depth") == LOOP).select("node", "root").join(reduced.select("node", "path"), "node")
+        on = scratch.keep(segments.select(F.explode("path").alias("node"), "root").distinct())
+        into = top.join(apart.select(F.col("node").alias("root"), F.col("root").alias("loop")), "root", "left")
+        lost = F.col("loop").isNotNull()
+        answers = into.select("node", F.coalesce("loop", "root").alias("root"), "dist", *more, lost.alias("lost"))
+        bare = ring.select("node", "root", F.lit(0).cast("bigint").alias("dist"), *([none.alias("path")] if with_paths else []), F.lit(True).alias("lost"))
+        answers = scratch.keep(answers.unionByName(bare))
+    # every node takes its splitter's answer; of these rows many may stand at one splitter
+    above = answers.select(F.col("node").alias("at"), "root", F.col("dist").alias("more"), "lost", *([F.col("path").alias("above")] if with_paths else []))
+    met = even_lookup(ended.drop("ended", "low", *([] if with_paths else ["path"])), above, "at")
+    depth = F.when(F.col("lost"), F.lit(INTO_LOOP).cast("bigint")).otherwise(F.col("dist") + F.col("more")).alias("depth")
+    path = [F.when(~F.col("lost"), F.reverse(F.concat(F.array("node"), "path", "above"))).alias("path")] if with_paths else []
+    out = met.select("node", "root", depth, *path)
+    if on is None:
+        return out
+    ends_ = apart.unionByName(on.withColumn("depth", F.lit(LOOP).cast("bigint")))
     if with_paths:
-        lost = lost.withColumn("path", F.lit(None).cast("array<string>"))
-    return good.unionByName(lost)
+        ends_ = ends_.withColumn("path", F.lit(None).cast("array<string>"))
+    return out.join(on.select("node"), "node", "left_anti").unionByName(ends_)
 
 
 def _ends(links: DataFrame) -> DataFrame:
@@ -95,29 +110,14 @@ def further_parents(links: DataFrame) -> DataFrame:
     return ends.join(first, "child").where("parent <> first").select("child", "parent")
 
 
-def _lost(scratch: Scratch, pointers: DataFrame, met: DataFrame, unended: DataFrame, ended: DataFrame, reduced: DataFrame, circling: DataFrame) -> DataFrame | None:
-    """``node, root, depth`` of nodes on or below loops; None where there are none.
+def _unsolved(pointers: DataFrame, unended: DataFrame, circling: DataFrame, reduced: DataFrame) -> DataFrame:
+    """``node, at, low, reduced``: the pointers of nodes whose walk never ends, and the reduced graph's pointers of splitters whose walk never ends.
 
-    Loops without a splitter are solved among the nodes whose walk never ends. Loops with splitters
-    are solved on the reduced graph, whose pointers know the least id on their way and the nodes of
-    their segment.
+    The first lie on loops without a splitter or lead into one, the second on or into loops with one;
+    a reduced pointer knows the least id on its way.
     """
     bare = unended.select("node").join(pointers, "node").select("node", F.col("parent").alias("at"), F.least("node", "parent").alias("low"), F.lit(False).alias("reduced"))
-    ring = circling.select("node").join(reduced, "node").select("node", "at", "low", F.lit(True).alias("reduced"))
-    start, n = scratch.keep_counting(bare.unionByName(ring), F.count(F.lit(1)))
-    if not n:
-        return None
-    # the two graphs share no node, so they are solved in the same rounds
-    looped = scratch.keep(_loops(scratch, start.drop("reduced")).join(start.select("node", "reduced"), "node"))
-    apart, of_splitters = looped.where("not reduced").drop("reduced"), looped.where("reduced").drop("reduced")
-    into = even_lookup(met, apart.select(F.col("node").alias("at"), "root"), "at").select("node", "root", F.lit(INTO_LOOP).cast("bigint").alias("depth"))
-    # the nodes between two splitters of a loop are those of the first one's segment
-    segments = of_splitters.where(F.col("depth") == LOOP).select("node", "root").join(reduced.select("node", "path"), "node")
-    on = scratch.keep(segments.select(F.explode("path").alias("node"), "root").distinct())
-    below = even_lookup(ended.select("node", "at"), of_splitters.select(F.col("node").alias("at"), "root"), "at").select("node", "root")
-    parts = [apart, into, on.withColumn("depth", F.lit(LOOP).cast("bigint")), below.join(on.select("node"), "node", "left_anti").withColumn("depth", F.lit(INTO_LOOP).cast("bigint"))]
-    return _union(parts)
-
+    return bare.unionByName(circling.select("node").join(reduced, "node").select("node", "at", "low", F.lit(True).alias("reduced")))
 
 
 def _marked(walk: DataFrame, stops: DataFrame) -> DataFrame:
@@ -166,12 +166,13 @@ def _loops(scratch: Scratch, walk: DataFrame) -> DataFrame:
     stood, last = None, None
     while True:
         to = walk.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("low").alias("low2"))
-        moved = scratch.keep(walk.join(to, "at").select("node", F.col("to").alias("at"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell")))
-        was, (stood, fell) = stood, moved.agg(F.countDistinct("at"), F.count_if("fell")).first()
+        step = walk.join(to, "at").select("node", F.col("to").alias("at"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell"))
+        moved, fell = scratch.keep_counting(step, F.count_if("fell"))
+        was, stood = stood, None if fell else moved.select("at").distinct().count()
         if last is not None:
             scratch.drop(last)
         last, walk = moved, moved.drop("fell")
-        if not stood or (stood == was and not fell):
+        if not fell and stood == was:
             break
     on = walk.join(walk.select(F.col("at").alias("node")).distinct(), "node", "left_semi").select("node", F.col("low").alias("root"))
     into = walk.join(on.select("node"), "node", "left_anti").join(on.select(F.col("node").alias("at"), "root"), "at").select("node", "root")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def even_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hint: str | None = None, total: int | None = None) -> DataFrame:
+def even_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hint: str | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``key``; hot keys of ``left`` are salted.
 
     Bytes tell a hot key badly, as its rows compress well, so rows are counted: first per task, then
@@ -14,14 +14,16 @@ def even_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     most two of them per task, so naming them is bounded. Rows of a hot key are dealt to as many
     salts as they fill even shares, and its rows of ``right`` are copied to each. Rows of ``left`` with a
     null key meet nothing, as in any join. Read ``left`` from a
-    written table: it is read twice. ``total`` is its number of rows where that is known.
+    written table: it is read twice.
     """
     spark = left.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     per = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.count() if total is None else total
-    share = max(1, total // tasks)
-    hot = [(r["_k"], -(-2 * r["_n"] // share)) for r in per.where(F.col("_n") > max(share // 2, 1)).collect()]
+    # one job: the rows are added up on the way to the keys of most rows, which any hot key is among
+    seen = Observation()
+    most = per.observe(seen, F.sum("_n").alias("n")).orderBy(F.col("_n").desc()).limit(2 * tasks).collect()
+    share = max(1, (seen.get.get("n") or 0) // tasks)
+    hot = [(r["_k"], -(-2 * r["_n"] // share)) for r in most if r["_n"] > max(share // 2, 1)]
     if hint:
         right = right.hint(hint)
     if not hot:
