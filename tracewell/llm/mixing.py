@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 MOST_LEAVES = 100_000  # pairs of language and source whose totals the driver holds
 SEED = 17
+NO_LANGUAGE = "\0"  # of a source without documents: no language's leaves are its siblings before the domain's
 
 
 @dataclass
@@ -106,7 +107,7 @@ def leaf_table(docs: DataFrame, targets: DataFrame, domains: dict[str, str]) ->
         weight, repeats = wanted[r["source"]]
         path = (domains.get(r["source"], "other"), r["lang"], r["source"])
         out.append(Leaf(path, weight * r["tokens"] / of_source[r["source"]], r["tokens"], repeats, r["docs"]))
-    out += [Leaf((domains.get(s, "other"), "", s), w, 0, k) for s, (w, k) in wanted.items() if s not in of_source]
+    out += [Leaf((domains.get(s, "other"), NO_LANGUAGE, s), w, 0, k) for s, (w, k) in wanted.items() if s not in of_source]
     return sorted(out, key=lambda x: x.path)
 
 
