@@ -14,7 +14,7 @@ from tests.parity import compare, connection
 from tracewell.plans import registry
 
 SF = "/root/testdata/sf0.001"
-LARGER = {"p4_found": "/root/testdata/sf0.01", "p4_table": "/root/testdata/sf0.01"}  # names that only few files show can't be told
+LARGER = dict.fromkeys(("p4_found", "p4_table", "p4_names"), "/root/testdata/sf0.01")  # names that only few files show can't be told
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
