@@ -43,6 +43,37 @@ def test_trace_goes_up_then_down(spark):
     assert sorted((r["source"], r["target"], r["direction"], r["hops"], list(r["chain"])) for r in graph.trace(e, pairs).collect()) == [("a", "c", "up", 2, ["a", "b", "c"]), ("c", "a", "down", 2, ["a", "b", "c"])]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_traces_equal_ordered_searches(spark, seed):
+    r = random.Random(seed)
+    nodes = [f"n{i:02}" for i in range(24)]
+    rows = [(r.choice(nodes), r.choice(nodes)) for _ in range(34)] + [(f"n{i:02}", f"n{i + 1:02}") for i in range(9)]
+    asked = [(s, t) for s in nodes for t in nodes if s != t]
+    up, down = {s: bfs(rows, s) for s in nodes}, {s: bfs([(b, a) for a, b in rows], s) for s in nodes}
+    want = {}
+    for s, t in asked:
+        if t in up[s]:
+            want[s, t] = ("up", len(up[s][t]), [s, *(rows[i][1] for i in up[s][t])])
+        elif t in down[s]:
+            want[s, t] = ("down", len(down[s][t]), [*(rows[i][0] for i in reversed(down[s][t])), s])
+    pairs = spark.createDataFrame(asked, "source string, target string")
+    e = edges(spark, rows)
+    assert {(x["source"], x["target"]): (x["direction"], x["hops"], list(x["chain"])) for x in graph.trace(e, pairs).collect()} == want
+    bare = graph.trace(e, pairs, with_chains=False)
+    assert {(x["source"], x["target"]): (x["direction"], x["hops"]) for x in bare.collect()} == {k: v[:2] for k, v in want.items()}
+
+
+def test_a_trace_reads_its_edges_once_however_deep(spark):
+    def plan(length):
+        e = edges(spark, [(f"n{i}", f"n{i + 1}") for i in range(length)])
+        pairs = spark.createDataFrame([("n0", f"n{length}"), ("n1", "n0"), ("n0", "x")], "source string, target string")
+        got = graph.trace(e, pairs)
+        assert sorted((r["source"], r["direction"], r["hops"]) for r in got.collect()) == [("n0", "up", length), ("n1", "down", 1)]
+        return got._jdf.queryExecution().analyzed().toString().count("\n")
+
+    assert plan(9) == plan(2)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     r = random.Random(seed)
