@@ -1,6 +1,6 @@
 import pytest
 
-from tracewell.llm import pairs
+from tracewell.llm import pairs, voices
 
 DDL = "id bigint, query string, prose string, refused boolean, reason string, names_a array<string>, names_b array<string>, defect string"
 Q = "What did The Sable Rooks lead to?"
@@ -114,6 +114,19 @@ def test_marks_teach_what_declines(spark):
     assert found(spark, [row("Nothing in these papers settles it, so the matter stays closed.")]) == {0: "refusal"}
 
 
+def test_few_marks_among_many_pairs_teach(spark):
+    many = spark.range(200_000).selectExpr("id", f"'{Q}' query", "'The Sable Rooks led to Late Ember.' prose", "false refused", "'' reason", "array('The Sable Rooks') names_a", "array('Late Ember') names_b", "null defect")
+    few = spark.createDataFrame([(-1 - i, Q, "Kept shut by the archive.", i > 0, "", *N, None) for i in range(4)], DDL)
+    got = pairs.defects(many.unionByName(few), documents(spark)).collect()
+    assert {r["id"]: r["defect"] for r in got} == dict.fromkeys((-1, -2, -3, -4), "refusal")
+
+
+def test_all_documents_are_counted(spark):
+    docs = spark.range(700).selectExpr("id", "if(id < 2, 'Rare word', 'word') text", "if(id % 7 = 0, 'De ', 'en') lang")
+    got = {(r["lang"], r["word"]): r["n"] for r in voices.document_words(docs, "id", "text", "lang").collect()}
+    assert got == {("en", ""): 600, ("en", "word"): 600, ("de", ""): 100, ("de", "word"): 100}
+
+
 def test_common_prefixes_against_all_others(spark):
     import random
 

@@ -60,7 +60,6 @@ _BLANKS = re.compile(r"[^\S\n]+")
 _LISTED = re.compile(r"§(?:,? (?:[^\W\d_]{1,3} )?§)+")
 _ITEMS = re.compile(r"(?:\n- §)+")
 _DECLINED = re.compile("|".join(f"(?:{x})" for x in DECLINES))
-_SEP = "\x1f"
 
 
 def squash(text: str) -> str:
@@ -87,7 +86,7 @@ def folded(text: str) -> str:
 
 def names_of(joined: str | None) -> list[str]:
     """Distinct names in lower case, longest first; also each name without a leading 'the'."""
-    low = {x.strip().lower() for x in (joined or "").split(_SEP)}
+    low = {x.strip().lower() for x in (joined or "").split(voices.SEP)}
     return sorted((x for x in low | {x.removeprefix("the ") for x in low} if len(x) > 1), key=lambda x: (-len(x), x))
 
 
@@ -138,23 +137,16 @@ def masked(pairs: DataFrame) -> DataFrame:
                 a, z = script_of(text), script_of(asked)
                 script = a is not None and z is not None and a != z and len(squash(text)) > 3
                 flagged = refused is True or refused == 1
-                rows.append((i, asked, text, flagged, flagged or nothing and squash(reason or "") not in NO_REASONS, nothing, copied, script, not closed, whole.count(voices.NAME) > 1, None if closed else _SEP.join(names), length, None if closed else xxhash.xxh64_intdigest(p) - (1 << 63)))
+                rows.append((i, asked, text, flagged, flagged or nothing and squash(reason or "") not in NO_REASONS, nothing, copied, script, not closed, whole.count(voices.NAME) > 1, None if closed else voices.SEP.join(names), length, None if closed else xxhash.xxh64_intdigest(p) - (1 << 63)))
             out = pd.DataFrame(rows, columns=columns)
             for c in ("length", "digest"):
                 out[c] = out[c].astype("Int64")
             yield out
 
-    flat = pairs.select("id", "query", "prose", "refused", "reason", F.concat_ws(_SEP, "names_a", "names_b").alias("names"))
+    flat = pairs.select("id", "query", "prose", "refused", "reason", F.concat_ws(voices.SEP, "names_a", "names_b").alias("names"))
     return flat.mapInPandas(show, f"id {kind}, {_SHOWN}")
 
 
-def fitted(known: DataFrame, n: int, docs: DataFrame, sample: int = voices.SAMPLE_PAIRS) -> voices.Model:
-    """The model from about ``sample`` of the ``n`` masked pairs and from ``docs(id, text, lang)``."""
-    part = known.select("query", "prose", "flagged", "names", F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(max(n, 1))).alias("h")).where(F.col("h") < sample).drop("h")
-    rows = part.collect()  # about ``sample`` rows, whatever their number in all
-    return voices.fit([(r["query"], r["prose"], r["flagged"], r["names"].split(_SEP) if r["names"] else []) for r in rows], voices.document_words(docs, "id", "text", "lang"))
-
-
 def judged(known: DataFrame, model: voices.Model) -> DataFrame:
     """Adds ``defect`` (refusal, empty, copy, other_language, the first that fits, else null) and ``spoken``, whether it holds a word that is no name's, to ``masked`` pairs."""
     shared = known.sparkSession.sparkContext.broadcast(model)
@@ -218,7 +210,7 @@ def open_texts(open_ended: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for i, p, names, spoken, several, length, digest in zip(*(b[c] for c in ("id", "prose", "names", "spoken", "several", "length", "digest")), strict=True):
-                text, need, breaks, is_list = asked_of(p, names.split(_SEP) if names else [], spoken)
+                text, need, breaks, is_list = asked_of(p, names.split(voices.SEP) if names else [], spoken)
                 is_name = is_list and not several and not _ITEM.search(p) and (p == voices.NAME or len(p.split()) <= NAME_WORDS and "," not in p)
                 rows.append((i, text, need, breaks, is_list, is_name, length, digest))
             yield pd.DataFrame(rows, columns=["id", "text", "need", "breaks_off", "is_list", "is_name", "length", "digest"])
@@ -326,8 +318,8 @@ def defects(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     id are left out; empty input gives no rows.
     """
     scratch = Scratch(pairs.sparkSession, "pairs")
-    shown, n = scratch.keep_counting(masked(pairs.where("id is not null")), F.count(F.lit(1)))
-    known = scratch.keep(judged(shown, fitted(shown, n, docs)).where("defect is not null or open_ended"))
+    shown = scratch.keep(masked(pairs.where("id is not null")))
+    known = scratch.keep(judged(shown, voices.fit(shown, docs)).where("defect is not null or open_ended"))
     asked = scratch.keep(open_texts(known.where("defect is null")))
     near = common_prefixes(shown.select(F.col("prose").alias("text")), asked.select("text"))
     limits = limit_lengths(asked.where("not is_name").select("digest", "length").distinct().select("length"))

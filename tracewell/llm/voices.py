@@ -1,7 +1,8 @@
 """Which language a short text is in, and whether it declines to answer: models fitted on the data.
 
 Both count words of texts whose names are masked (naive Bayes, and the mean lift of a text's words).
-They are fitted on bounded samples and applied to every row. Words of names are left out: a word counts only where it
+They are fitted on all pairs and documents: executors count, and what comes to the driver is counts
+per known word, or pair of words, and language. Words of names are left out: a word counts only where it
 stands in more masked texts than in names.
 
 * Languages start from documents that say theirs, by the words and the parts of words in them, and
@@ -15,17 +16,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SAMPLE_PAIRS = 50_000  # pairs that both models are fitted on, about
-SAMPLE_DOCS = 300  # documents per language that the languages start from, at most
-LEAST_SEEN = 3  # texts of the sample that must hold a word before it counts
-LEAST_SHARE = 0.005  # of the sample's pairs, what a language must have at first
+from ..plans.scratch import Scratch
+
+LEAST_SEEN = 3  # texts that must hold a word before it counts
+LEAST_SHARE = 0.005  # of the pairs, what a language must have at first
+SEP = "\x1f"  # between the names of a pair
 NAME = "§"
 ROUNDS = 12
 
@@ -78,127 +82,205 @@ def grams(text: str) -> set[str]:
     return {*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False))}
 
 
-def document_words(docs: DataFrame, doc_id: str, text: str, lang: str, most: int = SAMPLE_DOCS) -> list[tuple[str, str, int, int]]:
-    """``(language, word, documents with it, documents)`` of at most ``most`` documents per language.
+def _summed(df: DataFrame, count: Callable[[pd.DataFrame], dict], keys: str, sums: str) -> DataFrame:
+    """Adds up, over all rows, what ``count`` gives for a batch: ``{key or keys: numbers}``, in columns named by the two DDL strings."""
+    key, add = ([c.split()[0] for c in x.split(", ")] for x in (keys, sums))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(*(k if isinstance(k, tuple) else (k,)), *v) for k, v in count(b).items()], columns=[*key, *add])
+
+    return df.mapInPandas(counted, f"{keys}, {sums}").groupBy(*key).agg(*[F.sum(c).alias(c) for c in add])
+
+
+def document_words(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    """``lang, word, n``: in how many documents of a language a word stands, from two on, and all its documents under the empty word.
 
-    The sample is the documents of the smallest hashes. Documents without a language are left out;
-    language names are compared in lower case without outer blanks.
+    Documents without an id, a text or a language are left out; language names are compared in lower case without
+    outer blanks.
     """
-    named = docs.select(F.lower(F.trim(F.col(lang))).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("h")).where("lang <> '' and text is not null")
-    sample = named.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= most)
+    named = docs.where(F.col(doc_id).isNotNull()).select(F.lower(F.trim(F.col(lang))).alias("lang"), F.col(text).alias("text")).where("lang <> '' and text is not null")
     tokens = F.array_distinct(F.filter(F.split(F.lower("text"), r"(?U)[^\p{L}]+"), lambda x: (x != "") & (F.length(x) <= 30)))
-    held = sample.select("lang", F.explode(F.array_append(tokens, F.lit("")).alias("word")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    rows = held.where("n >= 2 or word = ''").collect()  # the vocabulary of a bounded sample
-    total = {r["lang"]: r["n"] for r in rows if r["word"] == ""}
-    return [(r["lang"], r["word"], r["n"], total[r["lang"]]) for r in rows if r["word"]]
-
-
-def fit(pairs: list[tuple[str, str, bool, list[str]]], doc_words: list[tuple[str, str, int, int]]) -> Model:
-    """The model from sampled ``(query, prose, marked as refused, names)`` with names masked, and ``document_words``."""
-    kept: dict[str, frozenset[str]] = {}
-
-    def held(text: str) -> frozenset[str]:
-        if text not in kept:
-            kept[text] = frozenset(words_of(text))
-        return kept[text]
-
-    folded = Counter((q, p) for q, p, _, _ in pairs)
-    texts = [(held(q), held(p), n) for (q, p), n in folded.items()]
-    seen, named = Counter(), Counter()
-    for q, p, n in texts:
-        for w in q | p:
-            seen[w] += n
-    for _, _, _, names in pairs:
-        named.update({w for n in names if not n.startswith("the ") for w in held(n)})
-    words = {w for w, n in seen.items() if n >= LEAST_SEEN and n > 2 * named[w] and w != NAME}
-    # words of unknown names stand alone; those of a language stand around names
-    around = Counter()
-    for q, p, n in texts:
-        for w in (q if NAME in q else frozenset()) | (p if NAME in p else frozenset()):
-            around[w] += n
+    return named.select("lang", F.explode(F.array_append(tokens, F.lit("")).alias("word")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2 or word = ''")
+
+
+def fit(pairs: DataFrame, docs: DataFrame) -> Model:
+    """The model from all of ``pairs(query, prose, flagged, names)`` with names masked, ``names`` joined by ``SEP``, and of ``docs(id, text, lang)``.
+
+    Equal texts are counted once, with their number. The driver holds the known words, and the pairs
+    of words among them, that ``LEAST_SEEN`` texts hold: the model itself.
+    """
+    scratch = Scratch(pairs.sparkSession, "voices")
+    texts = scratch.keep(pairs.groupBy("query", "prose").agg(F.count(F.lit(1)).alias("n"), F.count_if("flagged").alias("k")))
+
+    def heard(b: pd.DataFrame) -> dict:
+        out: dict[str, list[int]] = {}
+        for q, p, n in zip(b["query"], b["prose"], b["n"], strict=True):
+            q, p = frozenset(words_of(q)), frozenset(words_of(p))
+            for w in q | p:
+                cell = out.setdefault(w, [0, 0, 0])
+                cell[0] += n
+                # words of unknown names stand alone; those of a language stand around names
+                cell[1] += n * ((NAME in q and w in q) + (NAME in p and w in p))
+        return out
+
+    def named(b: pd.DataFrame) -> dict:
+        out = Counter()
+        for joined in b["names"]:
+            out.update({w for n in joined.split(SEP) if not n.startswith("the ") for w in words_of(n)})
+        return {w: (0, 0, n) for w, n in out.items()}
+
+    sums = "seen bigint, around bigint, named bigint"
+    both = _summed(texts.select("query", "prose", "n"), heard, "word string", sums).unionByName(_summed(pairs.where("names <> ''").select("names"), named, "word string", sums))
+    known = both.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("seen", "around", "named")]).where((F.col("seen") >= LEAST_SEEN) & (F.col("seen") > 2 * F.col("named")) & (F.col("word") != NAME))
+    vocabulary = scratch.keep(known)
+    rows = vocabulary.collect()
     model = Model()
-    if words:
-        _fit_languages(model, sorted(w for w in words if around[w] >= LEAST_SEEN and 2 * around[w] > seen[w]), texts, doc_words)
-        _fit_declining(model, pairs, words)
+    if rows:
+        around = (F.col("around") >= LEAST_SEEN) & (2 * F.col("around") > F.col("seen"))
+        _fit_languages(model, vocabulary.where(around).select("word"), texts, scratch.keep(document_words(docs, "id", "text", "lang")), scratch)
+        _fit_declining(model, texts, {r["word"] for r in rows})
     return model
 
 
-def _fit_languages(model: Model, words: list[str], texts: list[tuple[frozenset[str], frozenset[str], int]], doc_words: list[tuple[str, str, int, int]]) -> None:
-    languages = sorted({r[0] for r in doc_words})
-    if len(languages) < 2 or not words:
-        model.words = {w: np.zeros(1) for w in words}
-        return
-    at = {lang: i for i, lang in enumerate(languages)}
+def _priors(words: list[str], spoken: DataFrame, doc_words: DataFrame, scratch: Scratch) -> tuple[list[str], np.ndarray]:
+    """The languages, and per word the share of each one's documents that hold it; of a word no document has, what its parts tell."""
+
+    def parts_of(b: pd.DataFrame) -> dict:
+        return {k: (n,) for k, n in Counter((lang, g) for lang, word in zip(b["lang"], b["word"], strict=True) for g in _parts(word)).items()}
+
+    parts = scratch.keep(_summed(doc_words.where("word <> ''").select("lang", "word"), parts_of, "lang string, part string", "n bigint"))
+    total = {r["lang"]: r["n"] for r in doc_words.where("word = ''").collect()}
+    whole = {r["lang"]: r["n"] for r in parts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(whole)
     k = len(languages)
+    if k < 2 or not words:
+        return languages, np.zeros((len(words), 1))
+    at = {lang: i for i, lang in enumerate(languages)}
     share: dict[str, np.ndarray] = {}
-    parts: dict[str, np.ndarray] = {}
-    for lang, word, n, total in doc_words:
-        share.setdefault(word, np.zeros(k))[at[lang]] = n / total
-        for g in _parts(word):
-            parts.setdefault(g, np.zeros(k))[at[lang]] += 1.0
-    sums = np.sum(list(parts.values()), axis=0)
-    # the share of documents that hold a word; of a word no document has, what its parts tell
+    for r in doc_words.join(spoken, "word").collect():
+        share.setdefault(r["word"], np.zeros(k))[at[r["lang"]]] = r["n"] / total[r["lang"]]
+    ours = _summed(spoken, lambda b: dict.fromkeys({g for w in b["word"] for g in _parts(w)}, (1,)), "part string", "m bigint").select("part")
+    held: dict[str, np.ndarray] = {}
+    for r in parts.join(ours, "part").collect():
+        held.setdefault(r["part"], np.zeros(k))[at[r["lang"]]] = r["n"]
+    sums = np.array([whole[lang] for lang in languages], dtype=float)
     prior = np.full((len(words), k), 1e-4)
     for i, w in enumerate(words):
         if w in share:
             prior[i] = share[w] + 1e-3
-        hits = [np.log((parts[g] + 0.5) / (sums + 1)) for g in _parts(w) if g in parts]
+        hits = [np.log((held[g] + 0.5) / (sums + 1)) for g in sorted(_parts(w)) if g in held]
         if hits:
             fit_ = np.mean(hits, axis=0) * 2
             lean = np.exp(fit_ - fit_.max())
             prior[i] = prior[i] * lean / lean.max() + 1e-5 if w in share else 2e-3 * lean / lean.sum() + 1e-5
-    index = {w: i for i, w in enumerate(words)}
-    all_held = [(np.array(sorted(index[w] for w in q | p if w in index), dtype=np.int64), n) for q, p, n in texts]
-    held, times = [h for h, _ in all_held if len(h)], np.array([n for h, n in all_held if len(h)], dtype=float)
-    flat, owner = np.concatenate(held) if held else np.zeros(0, np.int64), np.repeat(np.arange(len(held)), [len(h) for h in held])
-    table, before, shut = np.log(prior), None, np.zeros(k)
+    return languages, prior
+
+
+def _fit_languages(model: Model, spoken: DataFrame, texts: DataFrame, doc_words: DataFrame, scratch: Scratch) -> None:
+    words = sorted(r["word"] for r in spoken.collect())
+    languages, prior = _priors(words, spoken, doc_words, scratch)
+    k = len(languages)
+    if k < 2 or not words:
+        model.words = {w: np.zeros(1) for w in words}
+        return
+    sc = texts.sparkSession.sparkContext
+    index = sc.broadcast({w: i for i, w in enumerate(words)})
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = index.value
+        for b in batches:
+            held = [sorted({at[w] for w in (*words_of(q), *words_of(p)) if w in at}) for q, p in zip(b["query"], b["prose"], strict=True)]
+            yield pd.DataFrame({"held": held, "n": b["n"]})
+
+    numbers = texts.select("query", "prose", "n").mapInPandas(numbered, "held array<int>, n bigint").where("size(held) > 0")
+    held = scratch.keep(numbers.groupBy("held").agg(F.sum("n").alias("n")))
+
+    def told(table: np.ndarray, shut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that hold a word, by the language they fit best, and pairs of a language."""
+        shared = sc.broadcast((table, shut))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, shut = shared.value
+            counts = np.zeros((len(table) + 1, len(shut)))  # the last row: all pairs
+            for b in batches:
+                lists, times = b.column(0), b.column(1).to_numpy(zero_copy_only=False).astype(float)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(len(times)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                score = np.zeros((len(times), len(shut)))
+                np.add.at(score, owner, table[flat])
+                now = np.argmax(score + shut, axis=1)
+                np.add.at(counts, (flat, now[owner]), times[owner])
+                np.add.at(counts, (len(table), now), times)
+            word, lang = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(lang, pa.int64()), pa.array(counts[word, lang], pa.float64())], ["word", "lang", "n"])
+
+        got = held.mapInArrow(count, "word bigint, lang bigint, n double").groupBy("word", "lang").agg(F.sum("n").alias("n")).collect()  # words times languages
+        shared.destroy()
+        counts = np.zeros((len(words) + 1, k))
+        for r in got:
+            counts[r["word"], r["lang"]] = r["n"]
+        return counts[:-1], counts[-1]
+
+    table, before = np.log(prior), None
+    # languages hardly any pair is in don't take part
+    first = told(table, np.zeros(k))[1]
+    shut = np.where(first >= LEAST_SHARE * first.sum(), 0.0, -np.inf)
     for _ in range(ROUNDS):
-        score = np.zeros((len(held), k))
-        np.add.at(score, owner, table[flat])
-        now = np.argmax(score + shut, axis=1)
-        if before is None:  # languages hardly any pair is in don't take part
-            shut = np.where(np.bincount(now, weights=times, minlength=k) >= LEAST_SHARE * times.sum(), 0.0, -np.inf)
-            now = np.argmax(score + shut, axis=1)
-        elif (now == before).all():
+        counts, sizes = told(table, shut)
+        if before is not None and (counts == before[0]).all() and (sizes == before[1]).all():
             break
-        before = now
-        counts = np.zeros((len(words), k))
-        np.add.at(counts, (flat, now[owner]), times[owner])
-        sizes = np.bincount(now, weights=times, minlength=k)
+        before = counts, sizes
         table = np.log((counts + 30 * prior + 0.02) / (sizes + 30))
     model.languages = languages
     table = np.where(np.isinf(shut), -1e6, table)
     model.words = {w: table[i] for i, w in enumerate(words)}
 
 
-def _fit_declining(model: Model, pairs: list[tuple[str, str, bool, list[str]]], known: set[str]) -> None:
-    folded: dict[str, list[int]] = {}
-    for _, p, r, _ in pairs:
-        if p.strip():
-            cell = folded.setdefault(p, [0, 0])
-            cell[0] += 1
-            cell[1] += bool(r)
-    said = [(grams(p), n, k) for p, (n, k) in folded.items()]
-    seen = Counter()
-    for gs, n, _ in said:
-        for g in gs:
-            seen[g] += n
-    keys = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n >= LEAST_SEEN and all(w in known for w in g.split())))}
-    times = np.array([n for _, n, _ in said], dtype=float)
-    side = np.array([k for *_, k in said], dtype=float) / np.maximum(times, 1)
-    if not keys or not side.any():
+def _fit_declining(model: Model, texts: DataFrame, known: set[str]) -> None:
+    sc = texts.sparkSession.sparkContext
+    vocabulary = sc.broadcast(known)
+    said = texts.select("prose", "n", "k")
+
+    def marks(b: pd.DataFrame) -> dict:
+        """Per word or pair of known words the texts that hold it and those of them that are marked; under the empty one all texts."""
+        out: dict[str, list[float]] = {}
+        for p, n, k in zip(b["prose"], b["n"], b["k"], strict=True):
+            if p.strip():
+                for g in ("", *(g for g in grams(p) if all(w in vocabulary.value for w in g.split()))):
+                    cell = out.setdefault(g, [0.0, 0.0])
+                    cell[0] += n
+                    cell[1] += k
+        return out
+
+    def counts(of: Callable[[pd.DataFrame], dict]) -> dict[str, tuple[float, float]]:
+        return {r["gram"]: (r["n"], r["k"]) for r in _summed(said, of, "gram string", "n double, k double").where(F.col("n") >= LEAST_SEEN).collect()}
+
+    def lifts(seen: dict[str, tuple[float, float]], whole: tuple[float, float]) -> dict[str, float]:
+        base = whole[1] / whole[0]
+        return {g: float(np.clip(np.log((k + 5 * base) / (n + 5) / base), -2, 3)) for g, (n, k) in seen.items()}
+
+    seen = counts(marks)
+    whole = seen.pop("", (0.0, 0.0))
+    if not seen or not whole[1]:
         return
-    held = [np.array([keys[g] for g in gs if g in keys], dtype=np.int64) for gs, *_ in said]
-    flat, sizes = np.concatenate(held), np.array([len(h) for h in held])
-    owner = np.repeat(np.arange(len(held)), sizes)
-    for least in (LIFT, 0.0):
-        base = side @ times / times.sum()
-        n = np.bincount(flat, weights=times[owner], minlength=len(keys))
-        k = np.bincount(flat, weights=(side * times)[owner], minlength=len(keys))
-        lift = np.clip(np.log((k + 5 * base) / (n + 5) / base), -2, 3)
-        score = np.bincount(owner, weights=lift[flat], minlength=len(held)) / np.maximum(sizes, 1)
-        # the mark is often wrong: what the words of a text show is taken instead, and counted again
-        side = (score > least).astype(float)
-        if not side.any():
-            return
-    model.declining = {g: float(lift[i]) for g, i in keys.items()}
+    lift = sc.broadcast(lifts(seen, whole))
+
+    def shows(b: pd.DataFrame) -> dict:
+        """The same, where the mark, which is often wrong, is replaced by what the words of a text show."""
+        found = lift.value
+        out: dict[str, list[float]] = {}
+        for p, n in zip(b["prose"], b["n"], strict=True):
+            if p.strip():
+                hits = sorted(g for g in grams(p) if g in found)
+                side = n * (sum(found[g] for g in hits) / max(len(hits), 1) > LIFT)
+                for g in ("", *hits):
+                    cell = out.setdefault(g, [0.0, 0.0])
+                    cell[0] += n
+                    cell[1] += side
+        return out
+
+    seen = counts(shows)
+    whole = seen.pop("", (0.0, 0.0))
+    if whole[1]:
+        model.declining = lifts(seen, whole)
